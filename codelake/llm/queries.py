@@ -13,6 +13,7 @@ from .licenses import license_scan
 from .minhash import near_duplicates
 from .quality import quality_report
 from .secrets import secret_report
+from .suffix import repeats
 from .tokens import training_order
 
 
@@ -24,6 +25,10 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
@@ -53,5 +58,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_neighbours, op4_language, op5_license, op6_secrets, op7_bpe, op8_training_order, op9_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_neighbours, op3_repeats, op4_language, op5_license, op6_secrets, op7_bpe, op8_training_order, op9_mixing, op10_quality)}
 ORACLE: dict[str, str] = {"op9_mixing": mixing.oracle()}
