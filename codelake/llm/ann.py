@@ -160,15 +160,30 @@ def search(queries: DataFrame, rows: DataFrame, k: int, tables: int, probes: int
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([key] * len(found), pa.int64()), lists], ["query_id", "key", "found"])
 
     some = joined.select("key", "q_ids", "q_vecs", "x_ids", "x_vecs").mapInArrow(run, "query_id long, key long, found array<struct<score:double,vec_id:long>>")
-    top = lambda by: some_top(by, k)
-    some = some.groupBy("query_id", "key").agg(top("found"))
-    return some.groupBy("query_id").agg(top("found"))
+    return topped(topped(some, ["query_id", "key"], k), ["query_id"], k)
 
 
-def some_top(name: str, k: int) -> Column:
-    """The k largest of the lists in a group, by score, then the smaller id."""
-    order = lambda a, b: F.when(a.score != b.score, F.when(a.score > b.score, -1).otherwise(1)).when(a.vec_id < b.vec_id, -1).when(a.vec_id > b.vec_id, 1).otherwise(0)
-    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(name))), order), 1, k).alias(name)
+def topped(lists: DataFrame, by: list[str], k: int) -> DataFrame:
+    """by, found: the k best of a group's lists, by score, then the smaller id; an id in several lists counts once, with its best score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(len(by))
+            ends, scores, ids = [0], [np.empty(0)], [np.empty(0, np.int64)]
+            for i in range(batch.num_rows):
+                hits = rows[i].values.flatten() if rows[i].is_valid else []
+                score, vec = (h.to_numpy(zero_copy_only=False) for h in hits)
+                order = np.lexsort((vec, -score))
+                order = order[np.sort(np.unique(vec[order], return_index=True)[1])][:k]
+                ends.append(ends[-1] + len(order))
+                scores.append(score[order])
+                ids.append(vec[order])
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(scores)), pa.array(np.concatenate(ids))], ["score", "vec_id"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(by))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], [*by, "found"])
+
+    keys = ", ".join(f"{c} long" for c in by)
+    grouped = lists.groupBy(*by).agg(F.flatten(F.collect_list("found")).alias("found"))
+    return grouped.mapInArrow(run, f"{keys}, found array<struct<score:double,vec_id:long>>")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 12, probes: int = 12, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
