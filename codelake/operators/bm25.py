@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import code_tokens
 
@@ -42,19 +42,26 @@ def idf_table(posts: DataFrame, stats: DataFrame) -> DataFrame:
     return per.crossJoin(floor).select("token", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def query_tokens(docs: DataFrame, query: str) -> DataFrame:
-    """token, times: the query's tokens with their repeats."""
-    spark = docs.sparkSession
+def query_tokens(spark: SparkSession, query: str) -> dict[str, int]:
+    """The query's tokens, and how often each comes: a few, on the driver, as they become literals."""
     found = spark.range(1).select(F.explode(code_tokens(F.lit(query))).alias("token")).collect()
-    return spark.createDataFrame(sorted(Counter(r.token for r in found).items()), "token string, times int")
+    return dict(sorted(Counter(r.token for r in found).items()))
 
 
-def scores(posts: DataFrame, lengths: DataFrame, query: DataFrame) -> DataFrame:
-    """doc_id, score for the documents that share a token with the query; empty for a blank query or corpus."""
+def scores(posts: DataFrame, lengths: DataFrame, query: dict[str, int], idf: DataFrame | None = None) -> DataFrame:
+    """doc_id, score for the documents that share a token with the query; empty for a blank query or corpus.
+
+    The tokens are a filter on the scans of postings and of a stored ``idf`` table, and then literals; only matching
+    postings meet the document lengths.
+    """
+    if not query:
+        return posts.where("false").select("doc_id", F.lit(0.0).alias("score"))
     stats = corpus_stats(lengths)
-    idf = idf_table(posts, stats)
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = posts.join(F.broadcast(query), "token").join(idf, "token").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
+    asked = F.col("token").isin(*query)
+    times = F.create_map(*(F.lit(x) for kv in query.items() for x in kv))[F.col("token")]
+    weights = (idf_table(posts, stats) if idf is None else idf).where(asked).select("token", "idf")
+    part = times * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hits = posts.where(asked).join(F.broadcast(weights), "token").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
     return hits.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 

@@ -29,16 +29,16 @@ def upserted(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def with_new_ids(new: DataFrame, top_id: int | None, order: list[str], name: str = "chunk_id") -> DataFrame:
-    """Dense ids after the largest one (from 0 in an empty table), in a fixed order.
+    """Dense ids after the largest one (from 0 in an empty table), in a fixed order: by a hash bucket of the first column, then the columns.
 
-    Ranges of the order go to tasks; each numbers its own rows after the counts of those before, so no task sees them all.
+    Each of 4,096 buckets numbers its own rows after the counts of those before, so that no task sees them all.
     """
     first = -1 if top_id is None else top_id
-    parts = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    rows = new.withColumn("_part", F.coalesce(F.substring(F.md5(F.col(order[0]).cast("string")), 1, 3), F.lit("")))
+    rows = rows.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return parts.join(F.broadcast(before), "_part").withColumn(name, (F.lit(first) + F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
+    return rows.join(F.broadcast(before), "_part").withColumn(name, (F.lit(first) + F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
 
 
 def statistics(status: DataFrame) -> DataFrame:

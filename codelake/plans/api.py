@@ -81,7 +81,7 @@ class Catalog:
         side = depth * PER_SIDE
         near = knn.top(index.table("vectors"), [float(x) for x in self.embedder.query(query)], side, where, "chunk_id")
         near = fusion.ranked(near, F.desc("score"), F.col("chunk_id"))
-        words = bm25.top(bm25.scores(index.table("postings").drop("index_name"), lengths.drop("index_name"), bm25.query_tokens(chunks, query)), lengths, side)
+        words = bm25.top(bm25.scores(index.table("postings").drop("index_name"), lengths.drop("index_name"), bm25.query_tokens(self.spark, query), index.table("idf")), lengths, side)
         spans = chunks.select("chunk_id", *KEYS, "language", "chunk_type")
         words = words.withColumnRenamed("doc_id", "chunk_id").join(spans, "chunk_id")
         words = words.where(F.col("language") == language) if language else words

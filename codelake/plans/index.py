@@ -121,11 +121,13 @@ def build(spark: SparkSession, repo: str, store: Store, embedder: Embedder | Non
         kept = old[name]
         tables[name] = made if kept is None else delta.without(kept, gone.select(F.col("path").alias(key)), key).unionByName(made, allowMissingColumns=True)
     tokens = bm25.token_counts(tables["chunks"], "chunk_id", "text").persist()
-    tables["postings"], tables["lengths"] = bm25.postings(tokens), bm25.doc_lengths(tokens)
+    posts, lengths = bm25.postings(tokens).persist(), bm25.doc_lengths(tokens)
+    tables["postings"], tables["lengths"] = posts.repartitionByRange("token").sortWithinPartitions("token"), lengths  # sorted, for scans that skip
+    tables["idf"] = bm25.idf_table(posts, bm25.corpus_stats(lengths)).repartitionByRange("token").sortWithinPartitions("token")
     tables["symbols"] = tables["symbols"].withColumn("name_lc", F.lower("name")).sortWithinPartitions("name_lc")
     n = delta.statistics(status).first()
     made = new_chunks.count()
     store.commit(tables, {"repo": repo, "include": list(include), "exclude": list(exclude), "custom": list(custom), "width": width})
-    for df in (files, status, changed, new_chunks, tokens):
+    for df in (files, status, changed, new_chunks, tokens, posts):
         df.unpersist()
     return Stats(n.files_processed, made, n.files_skipped, n.files_deleted, time.time() - began)

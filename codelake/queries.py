@@ -77,7 +77,7 @@ def keyword_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     tokens = bm25.token_counts(read(spark, sf_dir, "documents"), "doc_id", "text")
     tokens = tokens.persist()  # texts are tokenized once; a stored index reads postings instead
     lengths = bm25.doc_lengths(tokens)
-    return bm25.top(bm25.scores(bm25.postings(tokens), lengths, bm25.query_tokens(tokens, WORDS_QUERY)), lengths, k)
+    return bm25.top(bm25.scores(bm25.postings(tokens), lengths, bm25.query_tokens(spark, WORDS_QUERY)), lengths, k)
 
 
 def vector_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -123,8 +123,8 @@ def bm25_negative_idf(spark, sf_dir):
     tokens = bm25.token_counts(read(spark, sf_dir, "benchmark").where("item_id < 3"), "item_id", "text")
     posts = bm25.postings(tokens)
     df = posts.groupBy("token").agg(F.count("*").alias("df"))
-    common = df.join(F.broadcast(df.agg(F.max("df").alias("df"))), "df").select("token", F.lit(1).alias("times"))
-    return bm25.scores(posts, bm25.doc_lengths(tokens), common)
+    common = df.join(F.broadcast(df.agg(F.max("df").alias("df"))), "df").select("token").collect()
+    return bm25.scores(posts, bm25.doc_lengths(tokens), {r.token: 1 for r in common})
 
 
 @register(f"with w as (select doc_id, {WORDS_SQL} as w from documents), n as (select doc_id, w, len(w) as n from w), s as (select doc_id, w, n, unnest(range(0, case when n = 0 then 0 else greatest(0, ceil((n - 64) / 58.0))::int + 1 end)) as i from n) select doc_id, i::int as win, len(list_slice(w, i * 58 + 1, i * 58 + 64))::int as n_words, md5(array_to_string(list_slice(w, i * 58 + 1, i * 58 + 64), ' ')) as digest from s")
@@ -283,7 +283,7 @@ def postings_repair(spark, sf_dir):
     return delta.without(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id")), have, "chunk_id")
 
 
-@register("select item_id, (select max(vec_id) from embeddings) + row_number() over (order by text, item_id) as chunk_id from benchmark")
+@register("select item_id, (select max(vec_id) from embeddings) + row_number() over (order by substr(md5(text), 1, 3), text, item_id) as chunk_id from benchmark")
 def id_allocation(spark, sf_dir):
     top_id = read(spark, sf_dir, "embeddings").agg(F.max("vec_id").alias("m")).first().m
     return delta.with_new_ids(read(spark, sf_dir, "benchmark"), top_id, ["text", "item_id"]).select("item_id", "chunk_id")
