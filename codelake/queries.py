@@ -359,10 +359,10 @@ def path_case_restore(spark, sf_dir):
 @register(f"""with f as (select distinct {PATH_SQL} as path from documents), p as (select string_split(path, '/') as a from f),
 s as (select distinct array_to_string(list_slice(a, 1, i - 1), '/') as parent, list_extract(a, i) as name, i < len(a) as is_dir from (select a, unnest(range(1, least(len(a), 3) + 1)) as i from p)),
 c as (select parent, count(*) as children from s group by parent)
-select parent, name, is_dir, null::bigint as n_files from s join c using (parent) where children <= 30 or is_dir
-union all select parent, null, false, count(*)::bigint from s join c using (parent) where children > 30 and not is_dir group by parent""")
+select parent, name, is_dir, 0::bigint as n_files from s join c using (parent) where children <= 30 or is_dir
+union all select parent, '', false, count(*)::bigint from s join c using (parent) where children > 30 and not is_dir group by parent""")
 def repo_tree(spark, sf_dir):
-    return R.tree(corpus(spark, sf_dir).select("path").distinct(), 3)
+    return R.tree(corpus(spark, sf_dir).select("path").distinct(), 3).fillna("", ["name"]).fillna(0, ["n_files"])
 
 
 # Symbols ----------------------------------------------------------------------------------------------------------------
