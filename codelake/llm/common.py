@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Entries a worker's word cache may hold.
 CACHE = 1 << 19
+#: Spark removes a query's shuffle files at its end; a written table doesn't need them any more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 M64 = (1 << 64) - 1
 
 
@@ -34,11 +36,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: later steps start from files that outlive executors."""
+def materialize(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder, in at most ``parts`` files, and read again: later steps start from files that outlive executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

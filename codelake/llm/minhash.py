@@ -4,9 +4,12 @@ Two permutations give every signature coordinate: the first scatters a document'
 ``2**circle_bits`` places, the second numbers those places, and coordinate k is the least number met when the circle is
 turned by k. Bands of coordinates propose candidates; links are confirmed on the full shingle sets.
 
-Groups of copies never expand into pairs. Documents with the same set are one class with one representative. In a bucket,
-representatives are compared with the bucket's least one; only buckets that still hold several components afterwards have
-the remaining pairs compared, less those that sizes or the triangle inequality of the Jaccard distance rule out.
+Groups of copies never expand into pairs. Documents with the same set are one class with one representative. Each
+representative is first compared with one other: the most central one of its buckets (that with the most bucket mates),
+which settles groups around a common original. Only buckets that then still hold several components are looked at further:
+their members' signatures are compared in blocks, and pairs of different components that agree on as many of the
+COORDINATES as the similarity asks for, less MARGIN standard deviations, are confirmed on the full sets as well. A pair in
+several buckets is looked at in the first.
 
 Defined cases: no words or null text: an empty set, linked with nothing, kept. Fewer words than the shingle width: the
 whole sequence is the one shingle. A null id: never linked, component null, kept. Rows that repeat an id are judged by
@@ -16,23 +19,28 @@ their own texts. An empty table gives an empty result. Other columns of the inpu
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHash, id_and_text, materialize, mix, shingle_set, words_of
+from .common import WordHash, forget, id_and_text, materialize, mix, shingle_set, words_of
+
+
+#: Coordinates of a signature (the bands take the first of them), rows of a block, standard deviations.
+COORDINATES, BLOCK, MARGIN = 512, 1024, 5.0
+#: Rows of narrow tables that make a file, and the least number of files.
+ROWS_A_PART, LEAST_PARTS = 100_000, 12
 
 
 class Circulant:
-    """Signatures of ``bands * rows`` coordinates."""
+    """Signatures of COORDINATES numbers, of which ``bands * rows`` make the bands."""
 
     def __init__(self, bands: int = 32, rows: int = 4, circle_bits: int = 20, seed: int = 7):
         self.bands, self.rows, self.bits, self.seed = bands, rows, circle_bits, seed
         numbers = np.random.default_rng(seed).permutation(1 << circle_bits).astype(np.uint32)
-        k = bands * rows
+        k = max(COORDINATES, bands * rows)
         self.turned = np.lib.stride_tricks.sliding_window_view(np.concatenate([numbers, numbers[: k - 1]]), k)
         self.row_mult = mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
         self.band_salt = mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -42,32 +50,76 @@ class Circulant:
         parts = [self.turned[places[i : i + 2048]].min(0) for i in range(0, len(places), 2048)]
         return parts[0] if len(parts) == 1 else np.min(parts, axis=0)
 
-    def band_keys(self, shingles: np.ndarray) -> np.ndarray:
-        sig = self.signature(shingles).reshape(self.bands, self.rows).astype(np.uint64)
+    def band_keys(self, signature: np.ndarray) -> np.ndarray:
+        sig = signature[: self.bands * self.rows].reshape(self.bands, self.rows).astype(np.uint64)
         return mix((sig * self.row_mult).sum(1) + self.band_salt).view(np.int64)
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """doc_id, n (set size), fp (digest of the set, null if empty), keys (one for each band)."""
+    """doc_id, n (set size), fp (digest of the set, null if empty), keys (one for each band), low (the coordinates' low bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         circle, cache = Circulant(bands, rows, seed=seed), WordHash()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            ns, fps, keys = [], [], []
+            ns, fps, keys, low = [], [], [np.empty(0, np.int64)], []
             for i in range(len(texts)):
                 s = shingle_set(cache.of(words_of(texts[i].as_py())), width)
                 ns.append(len(s))
-                fps.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys.append(circle.band_keys(s) if len(s) else np.empty(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["doc_id", "n", "fp", "keys"],
-            )
+                sig = circle.signature(s) if len(s) else None
+                fps.append(None if sig is None else xxhash.xxh3_128_digest(s.tobytes()))
+                low.append(None if sig is None else sig.astype(np.uint8).tobytes())
+                if sig is not None:
+                    keys.append(circle.band_keys(sig))
+            offsets = np.concatenate([[0], np.cumsum([bands if n else 0 for n in ns])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), lists, pa.array(low, pa.binary())], ["doc_id", "n", "fp", "keys", "low"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, fp binary, keys array<long>, low binary")
+
+
+def alike(buckets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of different components in a bucket whose signatures agree enough. ``buckets``: key, band, parts, and rep, comp, n, low, keys of its members."""
+    t = percent / 100
+    least = t - MARGIN * (t * (1 - t) / COORDINATES) ** 0.5
+
+    def arrays(members: pa.StructArray) -> tuple[np.ndarray, ...]:
+        rep, comp, n = (members.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "n"))
+        low = np.frombuffer(b"".join(members.field("low").to_pylist()), np.uint8).reshape(len(rep), -1)
+        keys = members.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1)
+        return rep, comp, n, low, keys
+
+    def pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], band: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, (1 << 20) // (len(y[0]) * (band + 1)))
+        for i in range(0, len(x[0]), step):
+            rep, comp, n, low, keys = (c[i : i + step] for c in x)
+            ok = (comp[:, None] != y[1]) & (100 * np.minimum(n[:, None], y[2]) >= percent * np.maximum(n[:, None], y[2]))
+            if x is y:
+                ok &= np.arange(i, i + len(rep))[:, None] < np.arange(len(y[0]))
+            if band:
+                ok &= ~(keys[:, None, :band] == y[4][:, :band]).any(2)
+            at, to = np.nonzero(ok)
+            for j in range(0, len(at), 1 << 14):
+                p, q = at[j : j + (1 << 14)], to[j : j + (1 << 14)]
+                near = (low[p] == y[3][q]).mean(1) >= least
+                yield np.minimum(rep[p[near]], y[0][q[near]]), np.maximum(rep[p[near]], y[0][q[near]])
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp binary, keys array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 2]
+            for i in range(batch.num_rows):
+                x = arrays(batch.column(1)[i].values)
+                y = x if batch.num_columns == 2 else arrays(batch.column(2)[i].values)
+                out += pairs(x, y, batch.column(0)[i].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out]))], ["a", "b"])
+
+    packed = buckets.withColumn("block", F.pmod(F.xxhash64("rep"), "parts")).groupBy("key", "band", "parts", "block").agg(F.collect_list(F.struct("rep", "comp", "n", "low", "keys")).alias("members"))
+    packed = materialize(packed, "packed")
+    within = packed.select("band", "members").mapInArrow(run, "a long, b long")
+    many = packed.where("parts > 1")
+    x, y = many.alias("x"), many.alias("y")
+    across = x.join(y, F.expr("x.key = y.key and x.block < y.block")).select("x.band", F.col("x.members").alias("m"), F.col("y.members").alias("o")).mapInArrow(run, "a long, b long")
+    return within.union(across).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -94,22 +146,20 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, both long, either long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, component: the least id reachable over the links (a, b), for the ids that have links. Alternates large and small stars until nothing changes."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    before = None
+def components(links: DataFrame, parts: int | None = None) -> DataFrame:
+    """id, component: the least id reachable over the links (a, b), for the ids that have links. Alternates large and small stars until all edges lead to tops."""
+    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges", parts)
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", parts)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = materialize(large, "large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = materialize(large, "large", parts)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least", parts)
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.distinct(), "edges")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod("u", F.lit(1 << 20)) - F.pmod("v", F.lit(1 << 20)))).first()
-        if now == before:
+        edges = materialize(small.distinct(), "edges", parts)
+        several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")  # an id under two tops
+        if several.isEmpty() and edges.select(F.col("v").alias("u")).distinct().join(edges, "u", "left_semi").isEmpty():
             break
-        before = now
     tops = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(tops)
 
@@ -118,43 +168,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """doc_id, n_shingles, component_id, kept for every row of ``docs``; links have 100 * intersection >= percent * union."""
     docs = id_and_text(docs)
     sig = materialize(signatures(docs, width, bands, rows, seed), "signatures")
+    parts = max(LEAST_PARTS, -(-sig.count() // ROWS_A_PART))  # files of tables that have a few numbers for each document
     ids = sig.where("doc_id is not null and fp is not null")
-    classes = materialize(ids.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("fp", "rep"), "classes")
-    reps = ids.join(classes, "fp", "left").where("rep is null or rep = doc_id").select("doc_id", "n", "keys")
-    entries = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), "n")
-    leaders = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("last > leader").drop("last")
-    members = materialize(entries.join(materialize(leaders, "leaders"), "key"), "members")
-    found = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(docs.join(found, "doc_id", "left_semi"), "texts")
+    classes = materialize(ids.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("fp", "rep"), "classes", parts)
+    reps = ids.join(classes, "fp", "left").where("rep is null or rep = doc_id").select(F.col("doc_id").alias("rep"), "n", "keys", "low")
+    entries = reps.select("rep", F.posexplode("keys").alias("band", "key"))
+    shared = materialize(entries.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "size"), "shared", parts)
+    members = materialize(entries.join(shared, "key"), "members", parts)
+    mates = materialize(members.groupBy("rep").agg(F.sum("size").alias("mates")), "mates", parts)
+    ranked = members.join(mates, "rep").select("key", "rep", F.struct("mates", (-F.col("rep")).alias("minus")).alias("rank"))
+    leaders = materialize(ranked.groupBy("key").agg(F.max("rank").alias("leader")), "leaders", parts)
+    texts = materialize(docs.join(mates.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        return materialize(verified(pairs, texts, width), "verified")
-
-    near = F.col("both") * 100 >= F.col("either") * percent
-    done = [confirm(members.where("rep > leader").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")))]
-    every = lambda: reduce(DataFrame.union, done)
-    comp = materialize(components(every().where(near)), "components")
-    for step in ("leaders", "rest"):
-        placed = members.join(comp, members.rep == comp.id, "left").select("key", "rep", "n", "leader", F.coalesce("component", "rep").alias("comp"))
-        mixed = materialize(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "mixed")
-        placed = placed.join(mixed, "key")
-        if step == "leaders":
-            lead = comp.select(F.col("id").alias("leader"), F.col("component").alias("of_leader"))
-            pairs = placed.where("rep > leader").join(lead, "leader", "left").where("comp <> coalesce(of_leader, leader)").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-        else:
-            away = every().select(F.col("a").alias("leader"), F.col("b").alias("rep"), (1 - F.col("both") / F.col("either")).alias("d")).distinct()
-            placed = materialize(placed.where("rep > leader").join(away, ["leader", "rep"], "left").select("key", "rep", "n", "comp", "d"), "placed")
-            x, y = placed.alias("x"), placed.alias("y")
-            pairs = x.join(y, F.expr(f"x.key = y.key and x.rep < y.rep and x.comp <> y.comp and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and coalesce(abs(x.d - y.d) <= {100 - percent + 1e-6} / 100, true)"))
-            pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        pairs = materialize(pairs.distinct().join(every().select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            done.append(confirm(pairs))
-            comp = materialize(components(every().where(near)), "components")
+        return materialize(verified(pairs, texts, width), "verified").where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
+
+    first = members.join(leaders, "key").groupBy(F.col("rep").alias("b")).agg((-F.max("leader")["minus"]).alias("a")).where("a <> b").select("a", "b")
+    links = confirm(first)
+    comp = materialize(components(links, parts), "components", parts)
+    placed = materialize(members.join(comp, members.rep == comp.id, "left").select("key", "band", "size", "rep", F.coalesce("component", "rep").alias("comp")), "placed", parts)
+    mixed = materialize(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "mixed", parts)
+    buckets = placed.join(mixed, "key").withColumn("parts", F.ceil(F.col("size") / BLOCK)).join(reps, "rep")
+    more = materialize(alike(buckets, percent).join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs", parts)
+    if not more.isEmpty():
+        comp = materialize(components(links.union(confirm(more)), parts), "components", parts)
     known = classes.select("rep").union(comp.select("id")).distinct()
     of_rep = known.join(comp, known.rep == comp.id, "left").select(F.col("rep").alias("r"), F.coalesce("component", "rep").alias("component"))
-    of_rep = materialize(of_rep, "of_rep")
+    of_rep = materialize(of_rep, "of_rep", parts)
+    forget(shared, members, mates, leaders, texts, placed, mixed, more)
     shown = sig.select("doc_id", "n", "fp").join(classes, "fp", "left").withColumn("r", F.coalesce("rep", "doc_id"))
-    return shown.join(of_rep, "r", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept")
-    )
+    top = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return shown.join(of_rep, "r", "left").select("doc_id", F.col("n").alias("n_shingles"), top.alias("component_id"), F.coalesce(F.col("doc_id") == top, F.lit(True)).alias("kept"))
