@@ -88,6 +88,10 @@ class WordEncoder:
 
     def word(self, word: bytes) -> list[int]:
         text = word.decode("utf-8", "replace")
+        body = text.rstrip(".,")
+        if body.isalpha() and (body.isascii() or PLAIN.fullmatch(body)):  # most words: letters, then maybe one run of stops
+            ids = self.piece(body.lower())
+            return ids + self.piece(text[len(body) :]) if len(body) < len(text) else ids
         if not PLAIN.fullmatch(text) or any(m in text for m in self.marks):
             return self.library.encode(text, add_special_tokens=False).ids
         pieces = self.split(text.lower())
