@@ -6,9 +6,9 @@ in every round, which no budget bears. Here names are 64-bit hashes, equal for e
 doubling (1, 2, 4, 8, 16, 32, 50) needs no exchange, and Spark sorts names only to find out who has them first:
 
 1. Texts: rows with the same whole text are settled by their digest; the smallest id stays in play.
-2. Anchors: of every 50 bytes in a row, the 24-byte strings with the least name (local minima, so equal passages have equal
-   anchors). Anchors whose name no other text has drop out. Their density is about one in 14 bytes.
-3. Contexts: all bytes that windows of an anchor reach (76 at most). Where a smaller id has the same context, every window
+2. Anchors: of every 50 bytes in a row, the 32-byte strings with the least name (local minima, so equal passages have equal
+   anchors). Anchors whose name no other text has drop out. Their density is about one in 10 bytes.
+3. Contexts: all bytes that windows of an anchor reach (68 at most). Where a smaller id has the same context, every window
    of the anchor is settled at once; this covers the inside of long repeats.
 4. Windows: at anchors with several contexts, the edges of repeats, every 50-byte string's name.
 
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import id_and_text, materialize, mix
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 32
 REACH = LENGTH - GRAM  # windows that hold an anchor begin at most so far before it
 BUCKET_BYTES, LEAST_BUCKETS, SLICE = 16 << 20, 64, 2 << 20
 MESSAGE = "p long, kind string, ids binary, names binary, more binary"
@@ -52,18 +52,15 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def doubled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the strings of 24 and of 50 bytes that start at each place of ``data`` (at least 50 bytes)."""
+    """Names of the strings of 32 and of 50 bytes that start at each place of ``data`` (at least 50 bytes)."""
     one = _BYTE[data]
-    for h in (1, 2, 4):
+    for h in (1, 2, 4, 8, 16):
         one = pair(one[:-h], one[h:])
-    sixteen = pair(one[:-8], one[8:])
-    gram = pair(sixteen[:-8], one[16:])
-    two = pair(sixteen[:-16], sixteen[16:])
-    return gram, pair(two[:-18], two[18:])
+    return one, pair(one[: GRAM - LENGTH], one[LENGTH - GRAM :])
 
 
 def anchors(gram: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """Places whose 24-byte name is the least of a window; ``valid`` marks the starts of whole windows."""
+    """Places whose 32-byte name is the least of a window; ``valid`` marks the starts of whole windows."""
     h = (gram >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     least = h
     for w in (1, 2, 4, 8):
@@ -281,39 +278,55 @@ def repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     first = judged(sent, judge_anchors, buckets)
 
     def flagged(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Texts that have anchors some other text has, without rows that copy an earlier text; places of those anchors."""
+        """Texts that have anchors some other text has, without rows that copy an earlier text; and the segments that hold those anchors' contexts, where they lie, and the anchors' places in them."""
         told, names = answered(right, "=anchor")
         copy_ids, copy_tags = answered(right, "=copy")
-        out: list[tuple[int, int, bytes, bytes]] = []
-        for ids, texts in slices(left.column("doc_id").to_pylist(), [t or b"" for t in left.column("text").cast(pa.binary()).to_pylist()]):
+        out: list[tuple] = []
+        p = left.column("p")[0].as_py() if len(left) else 0
+        asked = np.isin(left.column("doc_id").to_numpy(), told)
+        some = left.filter(pa.array(asked))
+        for ids, texts in slices(some.column("doc_id").to_pylist(), [t or b"" for t in some.column("text").cast(pa.binary()).to_pylist()]):
             tags = np.array([tag64(t) for t in texts], np.uint64)
-            keep = ~among(ids, tags, copy_ids, copy_tags)
+            keep = np.flatnonzero(~among(ids, tags, copy_ids, copy_tags))
+            ids, tags, texts = ids[keep], tags[keep], [texts[i] for i in keep]
             t = Texts(texts)
             at = t.anchors()
             own = t.owner(at)
-            hit = keep[own] & among(ids[own], t.gram[at] & LOW48, told, names)
+            hit = among(ids[own], t.gram[at] & LOW48, told, names)
             at, own = at[hit], own[hit]
+            lo, hi = t.contexts(at)[1:] if len(at) else (at, at)
             for i in np.unique(own):
-                out.append((int(ids[i]), int(tags[i].view(np.int64)), texts[i], (at[own == i] - t.starts[i]).astype(np.uint32).tobytes()))
-        p = [left.column("p")[0].as_py()] * len(out) if out else []
-        return pa.table([pa.array(p, pa.int64()), *(pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary())))], names=["p", "doc_id", "tag", "text", "places"])
+                mine = own == i
+                new = np.r_[True, lo[mine][1:] > hi[mine][:-1]]  # contexts of neighbours overlap; both ends grow with the place
+                starts, ends = lo[mine][new], hi[mine][np.r_[new[1:], True]]
+                part = np.cumsum(new) - 1
+                shift = np.r_[0, np.cumsum(ends - starts)[:-1]] - starts
+                sizes = [(x - t.starts[i] if x is starts else x).astype(np.uint32).tobytes() for x in (starts, ends - starts)]
+                segments = b"".join(t.data[x:y].tobytes() for x, y in zip(starts, ends))
+                out.append((p, int(ids[i]), int(tags[i].view(np.int64)), texts[i], *sizes, segments, (at[mine] + shift[part]).astype(np.uint32).tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5)
+        return pa.table([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], names=["p", "doc_id", "tag", "text", "starts", "sizes", "segments", "places"])
 
     rows = owned.withColumn("p", bucket(F.col("doc_id"), buckets))
-    kept = rows.groupBy("p").cogroup(first.groupBy("p")).applyInArrow(flagged, "p long, doc_id long, tag long, text binary, places binary")
+    kept = rows.groupBy("p").cogroup(first.groupBy("p")).applyInArrow(flagged, "p long, doc_id long, tag long, text binary, starts binary, sizes binary, segments binary, places binary")
     kept = materialize(kept, "flagged")
 
     def opened(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, Texts, np.ndarray, np.ndarray]]:
-        """Row number of the first, ids, texts, anchors and their owners, a slice at a time."""
-        first, places = 0, rows.column("places").to_pylist()
-        for ids, texts in slices(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()):
-            t = Texts(texts)
-            at = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + s for x, s in zip(places[first:], t.starts)])
-            yield first, ids, t, at, t.owner(at)
+        """For a slice of rows: number of the first, row of each segment, segments as texts, anchors and their ids."""
+        first, sizes, places = 0, rows.column("sizes").to_pylist(), rows.column("places").to_pylist()
+        for ids, joined in slices(rows.column("doc_id").to_pylist(), rows.column("segments").to_pylist()):
+            lengths = [np.frombuffer(x, np.uint32).astype(np.int64) for x in sizes[first : first + len(ids)]]
+            cuts = [np.r_[0, np.cumsum(x)] for x in lengths]
+            t = Texts([text[x:y] for text, c in zip(joined, cuts) for x, y in zip(c[:-1], c[1:])])
+            base = np.cumsum([0, *(len(x) for x in joined)])
+            at = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + b for x, b in zip(places[first:], base[:-1])])
+            of = np.repeat(np.arange(len(ids)), [len(x) for x in lengths])
+            yield first, of, t, at, ids[of]
             first += len(ids)
 
     def context_messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, t, at, own in (x for batch in batches for x in opened(batch)):
-            names, docs_of, grams = t.contexts(at)[0], ids[own], t.gram[at]
+        for _, _, t, at, ids in (x for batch in batches for x in opened(batch)):
+            names, docs_of, grams = t.contexts(at)[0], ids[t.owner(at)], t.gram[at]
             lead, later = firsts(names, docs_of)
             yield from packed("=same", bucket_of(docs_of[later], buckets), docs_of[later], names[later])
             yield from packed("context", (names[lead] >> np.uint64(20)).astype(np.int64) % buckets, docs_of[lead], names[lead])
@@ -336,15 +349,16 @@ def repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
         else:
             yield from ((("=several"), i, n) for _, i, n in judge_anchors(kind, ids, names, marks))
 
-    second = materialize(judged(kept.mapInArrow(context_messages, MESSAGE), judge_contexts, buckets), "contexts")
+    second = materialize(judged(kept.drop("text").mapInArrow(context_messages, MESSAGE), judge_contexts, buckets), "contexts")
 
-    def covered(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, Texts, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Row number, ids and texts of a slice; of its anchors start and end of the context, whether a smaller id has it, whether windows are to be looked at."""
+    def covered(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, Texts, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Number of the first row, row and id of each segment, and the segments of a slice; of its anchors start and end of the context, whether a smaller id has it, whether windows are to be looked at."""
         same_as, several_as = answered(right, "=same"), answered(right, "=several")
-        for first, ids, t, at, own in opened(left):
+        for first, of, t, at, ids in opened(left):
             names, lo, hi = t.contexts(at)
-            same = among(ids[own], names, *same_as)
-            yield first, ids, t, lo, hi, same, among(ids[own], t.gram[at], *several_as) & ~same
+            who = ids[t.owner(at)]
+            same = among(who, names, *same_as)
+            yield first, of, ids, t, lo, hi, same, among(who, t.gram[at], *several_as) & ~same
 
     def windows(t: Texts, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Starts of the 50-byte strings inside the ranges."""
@@ -357,7 +371,7 @@ def repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
 
     def window_messages(left: pa.Table, right: pa.Table) -> pa.Table:
         batches: list[pa.RecordBatch] = []
-        for _, ids, t, lo, hi, _, look in covered(left, right):
+        for _, _, ids, t, lo, hi, _, look in covered(left, right):
             at = windows(t, lo[look], hi[look])
             names, docs_of = t.name[at], ids[t.owner(at)]
             lead, later = firsts(names, docs_of)
@@ -369,11 +383,11 @@ def repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
         later = firsts(names, ids)[1]
         yield "=window", ids[later], names[later]
 
-    third = judged(kept.groupBy("p").cogroup(second.groupBy("p")).applyInArrow(window_messages, MESSAGE), judge_windows, buckets)
+    third = judged(kept.drop("text").groupBy("p").cogroup(second.groupBy("p")).applyInArrow(window_messages, MESSAGE), judge_windows, buckets)
 
     def removed(left: pa.Table, right: pa.Table) -> pa.Table:
         told, out = answered(right, "=window"), []
-        for first, ids, t, lo, hi, same, look in covered(left, right):
+        for first, of, ids, t, lo, hi, same, look in covered(left, right):
             at = windows(t, lo[look], hi[look])
             at = at[among(ids[t.owner(at)], t.name[at], *told)]
             edge = np.zeros(len(t.data) + 1, np.int32)
@@ -381,11 +395,16 @@ def repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
                 np.add.at(edge, a, 1)
                 np.add.at(edge, b, -1)
             gone = np.cumsum(edge[:-1]) > 0
-            for i in range(len(ids)):
-                g = gone[t.starts[i] : t.ends[i]]
-                if g.any():
-                    rest = t.data[t.starts[i] : t.ends[i]][~g].tobytes()
-                    out.append((int(ids[i]), left.column("tag")[first + i].as_py(), int(g.sum()), int(g[0]) + int((g[1:] & ~g[:-1]).sum()), hashlib.sha256(rest).hexdigest()))
+            for row in np.unique(of):
+                parts = np.flatnonzero(of == row)
+                if not gone[t.starts[parts[0]] : t.ends[parts[-1]]].any():
+                    continue
+                i = first + int(row)
+                text = np.frombuffer(left.column("text")[i].as_py(), np.uint8)
+                g = np.zeros(len(text), bool)
+                for part, start in zip(parts, np.frombuffer(left.column("starts")[i].as_py(), np.uint32)):
+                    g[start : start + t.ends[part] - t.starts[part]] = gone[t.starts[part] : t.ends[part]]
+                out.append((int(ids[parts[0]]), left.column("tag")[i].as_py(), int(g.sum()), int(g[0]) + int((g[1:] & ~g[:-1]).sum()), hashlib.sha256(text[~g].tobytes()).hexdigest()))
         return pa.table([pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["id", "tag64", "removed", "spans", "rest"])
 
     answers = second.unionByName(third)

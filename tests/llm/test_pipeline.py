@@ -1,4 +1,5 @@
 import corpus_pipeline as P
+from codelake.llm.common import materialize
 from codelake.llm.quality import quality_report
 from codelake.llm.secrets import find_secrets
 
@@ -7,9 +8,9 @@ def test_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    good = P.quality(spark, docs, sf)
+    good = materialize(P.quality(spark, docs, sf), "good")
     assert {r.doc_id for r in good.collect()} == {r.doc_id for r in quality_report(docs, labels).where("kept").collect()}
-    kept = P.deduplicated(spark, good, sf)
+    kept = materialize(P.deduplicated(spark, good, sf), "kept")
     sets = {}
     for r in good.collect():
         w = r.text.encode().lower().split()
@@ -27,8 +28,8 @@ def test_stages(spark):
                 p, q = root(a), root(b)
                 top[max(p, q)] = min(p, q)
     assert {r.doc_id for r in kept.collect()} == {i for i in top if root(i) == i}
-    clean = P.secrets(spark, kept, sf)
+    clean = materialize(P.secrets(spark, kept, sf), "clean")
     assert clean.columns == docs.columns and clean.count() == kept.count() and not any(find_secrets(r.text) for r in clean.collect())
-    mixed = P.mixing(spark, clean, sf)
+    mixed = materialize(P.mixing(spark, clean, sf), "mixed")
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in clean.collect()}
     assert P.encoding(spark, mixed, sf).columns == ["doc_id", "n_tokens", "ids", "decoded"]
