@@ -3,7 +3,8 @@
 A region of a text around a word that starts a license notice is aligned with each template: words that are unique in both
 are paired, the longest increasing run of those pairs is kept as anchors, and the gaps between anchors are aligned in the
 same way, where other words become unique. Coverage is the share of the template's words that are aligned; a match has
-COVERAGE or more and holds one of the KEYS.
+COVERAGE or more and holds one of the KEYS. A region may hold several notices: literal copies of the template split it first,
+each match splits it further, and where copies leave no unique words, the longest chains of equal words are looked for.
 
 Defined cases: null or empty text: no match. Whole texts are read. Ties between templates go to the longer template, then
 the name. Rows are independent, so repeated rows and ids give equal results; an empty table gives an empty result; other
@@ -13,7 +14,9 @@ columns are ignored.
 from __future__ import annotations
 
 import bisect
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +29,8 @@ COVERAGE = 0.8
 KEYS = ("license", "licensed", "licence", "copyright", "permission", "redistribution", "cc")
 KEY = "(?i)licen[cs]e|copyright|permission|redistribution|\\bcc\\b"
 WORD = re.compile(r"[a-z0-9]+(?:[.'-][a-z0-9]+)*")
+#: Words that may stand between two aligned words of a notice, besides the template's own.
+SLACK = 8
 
 # Wordings of public licenses and their notices.
 TEMPLATES = {
@@ -139,6 +144,97 @@ def regions(found: list[str], reach: int) -> list[tuple[int, int]]:
 
 
 _SPLIT = {name: words(text)[0] for name, text in TEMPLATES.items()}
+_COUNTS = {name: Counter(template) for name, template in _SPLIT.items()}
+
+Pairs = list[tuple[int, int]]
+
+
+def joined(pairs: Pairs) -> list[Pairs]:
+    """Runs of pairs without words between them that are too many for one notice."""
+    out: list[Pairs] = []
+    for p in pairs:
+        if out and p[0] - out[-1][-1][0] <= p[1] - out[-1][-1][1] + SLACK:
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return out
+
+
+def chains(part: list[str], template: list[str], need: int, at: int = 0) -> list[Pairs]:
+    """Non-overlapping runs of ``need`` pairs or more, the longest first, the shortest in ``part`` of equally long ones."""
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(template):
+        places.setdefault(w, []).append(j)
+    spare = len(template) - need
+    ends: list[tuple[int, int, int, int, int]] = []  # pairs so far, first word, last word, place in the template, place in ends of the one before
+    recent = 0
+    for i, w in enumerate(part):
+        if w not in places:
+            continue
+        while recent < len(ends) and ends[recent][2] < i - spare - 1 - SLACK:
+            recent += 1
+        new = []
+        for j in places[w]:
+            most, first, back = 0, i, -1
+            for e in range(recent, len(ends)):
+                n, lo, x, y, _ = ends[e]
+                if y < j and i - x <= j - y + SLACK and (n > most or n == most and lo > first):
+                    most, first, back = n, lo, e
+            if j - most <= spare:  # fewer words of the template are left out than may be
+                new.append((most + 1, first, i, j, back))
+        ends += new
+    out: list[Pairs] = []
+    taken: list[tuple[int, int]] = []
+    for e in sorted((e for e in ends if e[0] >= need), key=lambda e: (-e[0], e[2] - e[1], e[1])):
+        lo, hi = e[1], e[2]
+        k = bisect.bisect(taken, (lo, hi))
+        if (k and taken[k - 1][1] >= lo) or (k < len(taken) and taken[k][0] <= hi):
+            continue
+        run = [(e[2] + at, e[3])]
+        while e[4] >= 0:
+            e = ends[e[4]]
+            run.append((e[2] + at, e[3]))
+        if any(part[i - at] in KEYS for i, _ in run):
+            out.append(run[::-1])
+            taken.insert(k, (lo, hi))
+    return out
+
+
+def matches(found: list[str], lo: int, hi: int, name: str, coverage: float) -> list[Pairs]:
+    """Every non-overlapping run in ``found[lo:hi]`` that covers the template."""
+    template, counts = _SPLIT[name], _COUNTS[name]
+    need = math.ceil(coverage * len(template) - 1e-9)
+    out: list[Pairs] = []
+
+    def rest(a: int, b: int, runs: list[Pairs]) -> list[tuple[int, int]]:
+        """What ``runs`` leave of a range."""
+        left = []
+        for run in sorted(runs):
+            left.append((a, run[0][0]))
+            a = run[-1][0] + 1
+        return [*left, (a, b)]
+
+    whole, i = [], lo
+    while i + len(template) <= hi:
+        if found[i] == template[0] and found[i : i + len(template)] == template:
+            whole.append([(i + j, j) for j in range(len(template))])
+            i += len(template)
+        else:
+            i += 1
+    out += whole
+    todo = rest(lo, hi, whole)
+    while todo:
+        a, b = todo.pop()
+        part = found[a:b]
+        there = Counter(w for w in part if w in counts)
+        if sum(min(n, counts[w]) for w, n in there.items()) < need or not any(w in KEYS for w in there):
+            continue
+        runs = [r for r in joined(align(part, template, a)) if len(r) >= need and any(found[i] in KEYS for i, _ in r)]
+        runs = runs or chains(part, template, need, a)
+        if runs:
+            out += runs
+            todo += rest(a, b, runs)
+    return out
 
 
 def find_licenses(text: str | None, coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
@@ -148,23 +244,17 @@ def find_licenses(text: str | None, coverage: float = COVERAGE) -> list[tuple[st
     found, spans = words(text)
     hits = []
     for name, template in _SPLIT.items():
-        for lo, hi in regions(found, len(template) + 8):
-            pairs = align(found[lo:hi], template, lo)
-            best: list[tuple[int, int]] = []
-            run: list[tuple[int, int]] = []
-            for p in pairs:  # words far apart in the text don't belong to one notice
-                if run and (p[0] - run[-1][0]) > (p[1] - run[-1][1]) + 8:
-                    run = []
-                run.append(p)
-                best = list(run) if len(run) > len(best) else best
-            share = len(best) / len(template)
-            if share >= coverage and any(found[i] in KEYS for i, _ in best):
-                hits.append((name, round(share, 6), spans[best[0][0]][0], spans[best[-1][0]][1], len(best)))
+        for lo, hi in regions(found, len(template) + SLACK):
+            for run in matches(found, lo, hi, name, coverage):
+                hits.append((name, round(len(run) / len(template), 6), spans[run[0][0]][0], spans[run[-1][0]][1], len(run)))
     hits.sort(key=lambda h: (-h[4] * h[1], h[0], h[2]))
     out: list[tuple[str, float, int, int]] = []
+    taken: list[tuple[int, int]] = []
     for name, share, start, end, _ in hits:
-        if all(end <= o[2] or start >= o[3] for o in out):
+        k = bisect.bisect(taken, (start, end))
+        if (not k or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= end):
             out.append((name, share, start, end))
+            taken.insert(k, (start, end))
     return out
 
 

@@ -54,6 +54,21 @@ def test_licenses(odd, none, spark):
     assert licenses.license_scan(odd).count() == odd.count() and licenses.license_scan(none).collect() == []
 
 
+def test_repeated_licenses():
+    notice, mit, isc = (licenses.TEMPLATES[k] for k in ("Apache-2.0 notice", "MIT", "ISC"))
+    found = lambda text: sorted((s, e, n) for n, _, s, e in licenses.find_licenses(text))
+    text = f"see here {notice} and also {notice} end"
+    assert [(n, text[s:e]) for s, e, n in found(text)] == [("Apache-2.0 notice", notice)] * 2
+    odd_mit = mit.replace("sublicense", "sell").replace("MERCHANTABILITY", "USE")
+    file = "\n\n".join(f"Copyright {2000 + i} Somebody {i}\n{t}" for i, t in enumerate((mit, isc, odd_mit, mit, isc, odd_mit)))
+    assert [n for _, _, n in found(file)] == ["MIT", "ISC", "MIT", "MIT", "ISC", "MIT"]
+    changed = notice.replace("Apache", "Apache2")
+    text = f"x {changed} y {changed} z the license and the license of others"
+    assert [text[s:e] for s, e, _ in found(text)] == [changed] * 2
+    many = " or ".join([notice] * 500)
+    assert len(found(many)) == 500
+
+
 @settings(max_examples=60)
 @given(st.lists(st.sampled_from("abcdefg"), max_size=12), st.lists(st.sampled_from("abcdefg"), max_size=12))
 def test_alignment_is_increasing(a, b):
