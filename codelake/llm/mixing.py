@@ -4,7 +4,9 @@ Targets share all words by weight; a source gives at most ``cap`` times its size
 The mix is cut into at most ``seats`` blocks of equal size, and blocks go to sources by the highest quotients
 target / (2 s + 1); a block's place in that order also fixes its shard, so every shard has an integer quota of each
 source. A source with a quota over its size is taken whole as often as that fits; the rest are blocks of its running
-text, chosen by a seeded hash. Documents stand in a source by (hash bucket of the id, id), so no step needs a source's
+text, chosen by a seeded hash. Sources whose size or target is under FEW blocks are too small for that measure, where a
+block has more than one word: their quotas are their targets in words, rounded so that their sum keeps to the targets',
+and the last block chosen is taken only as far as its quota goes. The other sources share the rest. Documents stand in a source by (hash bucket of the id, id), so no step needs a source's
 rows in one task: sizes are summed by bucket, buckets by source, and only tables of sources, of (source, bucket) and of at
 most ``seats`` blocks are ordered as a whole.
 
@@ -21,6 +23,8 @@ from .common import SPACE, materialize
 
 WEIGHTS = (5, 2, 1)
 CAP, SEATS, SHARDS, SEED = 3, 65_536, 16, 17
+#: Sources under so many blocks get words instead.
+FEW = 256
 
 
 def word_count(text: Column) -> Column:
@@ -48,24 +52,40 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     return s.select("source", "source_size", "k", "all", F.least("most", F.col("w") * F.col("level")).alias("target"))
 
 
-def quotas(goals: DataFrame, cap: int = CAP, seats: int = SEATS, shards: int = SHARDS) -> DataFrame:
-    """k, shard, blocks: how many blocks of which source each shard has; with block (its size), source_size."""
+def measured(goals: DataFrame, cap: int = CAP, seats: int = SEATS) -> DataFrame:
+    """``goals`` with block (its size), words (the quota of a source under FEW blocks; null for others)."""
     g = goals.withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("all") / seats)).cast("long"))
-    g = g.withColumn("total", F.round(F.col("all") / F.col("block")).cast("long"))
+    few = (F.col("block") > 1) & (F.least(F.col("source_size").cast("double"), F.col("target")) < FEW * F.col("block"))
+    g = g.withColumn("few", F.coalesce(few, F.lit(False)))
+    upto = F.round(F.sum("target").over(W.partitionBy("few").orderBy("k").rowsBetween(W.unboundedPreceding, 0)))
+    g = g.withColumn("upto", upto.cast("long"))
+    words = F.col("upto") - F.coalesce(F.lag("upto").over(W.partitionBy("few").orderBy("k")), F.lit(0))
+    return g.withColumn("words", F.when(F.col("few"), F.least(words, F.col("source_size") * cap))).drop("few", "upto")
+
+
+def quotas(goals: DataFrame, cap: int = CAP, seats: int = SEATS, shards: int = SHARDS) -> DataFrame:
+    """k, shard, blocks: how many blocks of which source each shard has; with block (its size), source_size. Sources with words are left out."""
+    g = goals if "words" in goals.columns else measured(goals, cap, seats).withColumn("words", F.lit(None).cast("long"))
+    g = g.withColumn("given", F.coalesce(F.sum("words").over(W.partitionBy()), F.lit(0)))
+    g = g.withColumn("total", F.round((F.col("all") - F.col("given")) / F.col("block")).cast("long"))
     most = F.least(F.floor(F.col("source_size") * cap / F.col("block")), F.ceil(F.col("target") / F.col("block")) + 2).cast("int")
-    seat = g.where(most > 0).select("k", "source_size", "block", "total", "target", F.explode(F.sequence(F.lit(0), most - 1)).alias("s"))
+    seat = g.where(F.col("words").isNull() & (most > 0)).select("k", "source_size", "block", "total", "target", F.explode(F.sequence(F.lit(0), most - 1)).alias("s"))
     seat = seat.withColumn("place", F.row_number().over(W.orderBy((F.col("target") / (2 * F.col("s") + 1)).desc(), "k")) - 1).where("place < total")
     return seat.groupBy("k", (F.floor(F.col("place") * shards / F.col("total"))).cast("int").alias("shard")).agg(F.count("*").alias("blocks"), F.first("block").alias("block"), F.first("source_size").alias("source_size"))
 
 
-def chosen_blocks(quota: DataFrame, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """k, block, full (how often the source is taken whole), b (a block taken once more; null where there is none)."""
+def chosen_blocks(quota: DataFrame, goals: DataFrame, cap: int = CAP, seed: int = SEED) -> DataFrame:
+    """k, block, full (how often the source is taken whole), b (a block taken once more; null where there is none), upto (how many of its words)."""
     q = quota.groupBy("k").agg((F.sum("blocks") * F.first("block")).alias("q"), F.first("block").alias("block"), F.first("source_size").alias("size"))
     q = q.withColumn("q", F.least("q", F.col("size") * cap)).withColumn("full", F.expr("q div size"))
-    q = q.withColumn("more", F.round((F.col("q") - F.col("full") * F.col("size")) / F.col("block")).cast("long"))
-    b = q.select("k", "block", "full", "more", F.explode(F.expr("sequence(0, (size - 1) div block)")).alias("b"))
-    b = b.withColumn("turn", F.row_number().over(W.partitionBy("k").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "k", "b")), "b")))
-    picked = b.where("turn <= more").select("k", "b")
+    q = q.withColumn("more", F.round((F.col("q") - F.col("full") * F.col("size")) / F.col("block")).cast("long") * F.col("block")).select("k", "block", "size", "full", "more", F.lit(False).alias("exact"))
+    few = goals.where("words is not null and source_size > 0").select("k", "block", F.col("source_size").alias("size"), F.expr("words div source_size").alias("full"), F.expr("words % source_size").alias("more"), F.lit(True).alias("exact"))
+    q = q.unionByName(few)
+    b = q.select("k", "block", "size", "full", "more", "exact", F.explode(F.expr("sequence(0, (size - 1) div block)")).alias("b"))
+    b = b.withColumn("long", F.when(F.col("exact"), F.least("block", F.col("size") - F.col("b") * F.col("block"))).otherwise(F.col("block")))
+    turn = W.partitionBy("k").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "k", "b")), "b")
+    b = b.withColumn("ahead", F.sum("long").over(turn.rowsBetween(W.unboundedPreceding, 0)) - F.col("long"))
+    picked = b.where("ahead < more").select("k", "b", F.least("long", F.col("more") - F.col("ahead")).alias("upto"))
     return q.select("k", "block", "full").join(picked, "k", "left")
 
 
@@ -73,20 +93,20 @@ def placed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
     """Each row of sizes() with source_size, target, start (its first word's place in the source), full, block, and pieces: the word ranges taken once more."""
     rows = materialize(rows, "sizes")
     per_bucket = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
-    goals = materialize(targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, cap), "targets")
-    blocks = materialize(chosen_blocks(quotas(goals, cap, seats), cap, seed), "blocks")
+    goals = materialize(targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, cap).transform(measured, cap, seats), "targets")
+    blocks = materialize(chosen_blocks(quotas(goals, cap, seats), goals, cap, seed), "blocks")
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     per_bucket = per_bucket.withColumn("first", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     taken = blocks.select("k", "block", "full").distinct()
-    g = goals.join(taken, "k", "left").select(F.col("source").alias("s"), "k", "source_size", "target", F.coalesce("block", F.lit(1)).alias("block"), F.coalesce("full", F.lit(0)).alias("full"))
+    g = goals.join(taken, "k", "left").select(F.col("source").alias("s"), "k", "source_size", "target", F.coalesce(taken["block"], goals["block"]).alias("block"), F.coalesce("full", F.lit(0)).alias("full"))
     per_bucket = materialize(per_bucket.join(g, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("bucket").alias("u"), "first", "k", "source_size", "target", "block", "full"), "placed")
     inside = W.partitionBy("source", "bucket").orderBy("doc_id", "size")
     r = rows.withColumn("pos", F.row_number().over(inside)).withColumn("ahead", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     r = r.join(per_bucket, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("u"))).withColumn("start", F.col("first") + F.col("ahead"))
     touched = F.when(F.col("size") > 0, F.expr("sequence(start div block, (start + size - 1) div block)"))
     r = r.select("doc_id", "source", "bucket", "pos", "size", "source_size", "target", "start", "block", "full", "k", F.explode_outer(touched).alias("b"))
-    r = r.join(blocks.where("b is not null").select("k", "b", F.lit(True).alias("hit")), ["k", "b"], "left")
-    piece = F.when(F.col("hit"), F.struct((F.greatest("start", F.expr("b * block")) - F.col("start")).alias("from"), (F.least(F.col("start") + F.col("size"), F.expr("(b + 1) * block")) - F.col("start")).alias("to")))
+    r = r.join(blocks.where("b is not null").select("k", "b", "upto"), ["k", "b"], "left")
+    piece = F.when(F.expr("start < b * block + upto"), F.struct((F.greatest("start", F.expr("b * block")) - F.col("start")).alias("from"), (F.least(F.col("start") + F.col("size"), F.expr("b * block + upto")) - F.col("start")).alias("to")))
     by = ["k", "bucket", "pos", "doc_id", "source", "size", "source_size", "target", "full"]
     return r.groupBy(*by).agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
 

@@ -53,3 +53,46 @@ def test_documents(odd, none):
         words[r.doc_id] = words.get(r.doc_id, 0) + len((r.text or "").encode().split())
     assert out.columns == odd.columns and {k: v for k, v in taken.items() if v} == {k: v for k, v in words.items() if v}
     assert mixing.mix(none).collect() == [] and mixing.mixed_documents(none).collect() == []
+
+
+def of_words(spark, sizes):
+    """Documents of 10 words at most for each source."""
+    rows, i = [], 0
+    for source, n in sizes.items():
+        for at in range(0, n, 10):
+            rows.append((i, " ".join(f"w{j}" for j in range(at, min(at + 10, n))), source))
+            i += 1
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def sums(rows):
+    total = {}
+    for r in rows:
+        t = total.setdefault(r.source, [r.source_size, r.target, 0])
+        t[2] += r.taken
+    return total
+
+
+def test_small_sources_at_long_blocks(spark):
+    docs = of_words(spark, {"a": 5000, "b": 4000, "tiny": 1, "u": 7, "v": 25})
+    rows = mixing.mix(docs, seats=2000).collect()  # blocks of 5 words
+    total = sums(rows)
+    assert all(r.taken <= 3 * r["size"] for r in rows) and abs(sum(t[2] for t in total.values()) - 9033) <= 10
+    assert all(abs(total[k][2] - total[k][1]) <= 1 and total[k][2] > 0 for k in ("tiny", "u", "v")) and all(abs(total[k][2] - total[k][1]) <= 10 for k in "ab")
+    out = {}
+    for r in mixing.mixed_documents(docs, seats=2000).collect():
+        out[r.source] = out.get(r.source, 0) + len(r.text.split())
+    assert out == {k: t[2] for k, t in total.items()}
+
+
+def test_more_sources_than_seats(spark):
+    total = sums(mixing.mix(of_words(spark, {f"s{i}": 1 + i % 13 for i in range(300)}), seats=40).collect())
+    assert len(total) == 300 and all(abs(t[2] - t[1]) <= 1 and t[2] > 0 for t in total.values()) and sum(t[2] for t in total.values()) == sum(t[0] for t in total.values())
+
+
+def test_against_sql_at_long_blocks(spark, tmp_path):
+    docs = of_words(spark, {"a": 3001, "b": 2500, "c": 2600})
+    pq.write_table(docs.toArrow(), tmp_path / "d.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/d.parquet'")
+    assert sorted(map(tuple, mixing.mix(docs, seats=4000).collect())) == sorted(db.sql(mixing.oracle(seats=4000)).fetchall())
