@@ -2,8 +2,9 @@
 
 Candidate strings are runs of one character class (hexadecimal digits; base64 characters). A window slides over each;
 its Shannon entropy follows from counts changed by one character in and one out. Windows at or over the class's
-threshold are joined to spans. An allow-list suppresses what is known to be harmless: identifiers in UUID form, strings
-without digits or without letters (long words, numbers), and strings that hold a placeholder word.
+threshold are joined to spans. An allow-list suppresses what is known to be harmless: strings without digits or without
+letters (long words, numbers), and windows that touch an identifier in UUID form or a placeholder word; what is left of
+the string on either side is judged by its own windows.
 
 Defined cases: null or empty text: no spans. Offsets count code points, ends are exclusive. Rows are independent, so
 repeated rows and ids give equal results; an empty table gives an empty result; other columns are ignored.
@@ -38,9 +39,22 @@ KINDS = ("assign", "access", "hex", "entropy")
 _BITS = [0.0] + [c * math.log2(c) for c in range(1, 129)]
 
 
-def allowed(s: str) -> bool:
-    """Whether the allow-list suppresses the candidate ``s``."""
-    return not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or bool(PLACEHOLDER.search(s) or UUID.search(s))
+def judged(s: str) -> list[tuple[int, int]]:
+    """The parts of the candidate ``s`` that the allow-list leaves."""
+    if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+        return []
+    harmless = []
+    for pattern in (PLACEHOLDER, UUID):
+        m = pattern.search(s)
+        while m:
+            harmless.append(m.span())
+            m = pattern.search(s, m.start() + 1)  # matches may overlap
+    parts, at = [], 0
+    for start, end in sorted(harmless):
+        if start > at:
+            parts.append((at, start))
+        at = max(at, end)
+    return [*parts, (at, len(s))]
 
 
 def dense_windows(s: str, width: int, bits: float) -> list[tuple[int, int]]:
@@ -76,9 +90,9 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     base = list(found)
     for pattern, width, bits in CLASSES.values():
         for m in pattern.finditer(text):
-            if not allowed(m[0]):
-                for a, b in dense_windows(m[0], width, bits):
-                    a, b = a + m.start(), b + m.start()
+            for start, end in judged(m[0]):
+                for a, b in dense_windows(m[0][start:end], width, bits) if end - start >= width else ():
+                    a, b = a + m.start() + start, b + m.start() + start
                     if not any(x <= a and b <= y for x, y, _ in base) and (a, b, "entropy") not in found:
                         found.append((a, b, "entropy"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))

@@ -28,6 +28,18 @@ def test_secret_spans():
         assert secrets.find_secrets(harmless) == []
 
 
+def test_secrets_beside_harmless_words():
+    key, uuid = "qT7zX9cV2bN4mK8lP1oWjR5yH3uE6sD0fGaZiQ9x", "123e4567-e89b-12d3-a456-426614174000"
+    for text in (f"latest/{key}", f"contest_signing={key}", f"/v1/{uuid}/{key}", f"{key}_0000", f"{KEY[:23].upper()}_sample"):
+        secret = key if key in text else KEY[:23].upper()
+        assert any(a <= text.index(secret) and text.index(secret) + len(secret) <= b for a, b, _ in secrets.find_secrets(text)), text
+        assert secret not in secrets.redact(text) and not secrets.find_secrets(secrets.redact(text))
+    for text in (uuid, f"{uuid}/{uuid}", "this-is-an-example-of-9-long-words"):
+        assert secrets.find_secrets(text) == []
+    blob = "".join(hashlib.sha512(bytes([i])).hexdigest().upper() + key for i in range(40)) + "test" + key
+    assert sum(b - a for a, b, k in secrets.find_secrets(blob) if k == "entropy") >= 0.9 * len(blob)
+
+
 @settings(max_examples=50)
 @given(st.text("abc123XYZ", max_size=60))
 def test_entropy_by_counts(s):
