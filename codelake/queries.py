@@ -127,6 +127,19 @@ def bm25_negative_idf(spark, sf_dir):
     return bm25.scores(posts, bm25.doc_lengths(tokens), {r.token: 1 for r in common})
 
 
+PAGES = f"with docs as (select page_id as doc_id, html as text from pages), {TOKENS.replace('from documents', 'from docs')}, {IDF}"
+
+
+@register(f"{PAGES}, q as (select token, 1 as times from rawidf where raw < 0) select p.doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from posts p join q using (token) join idf using (token) join dl on dl.doc_id = p.doc_id cross join stats group by p.doc_id")
+def bm25_negative_idf_whole(spark, sf_dir):
+    """All pages, asked for the tokens that more than half of them hold, as those of markup."""
+    tokens = bm25.token_counts(read(spark, sf_dir, "pages"), "page_id", "html")
+    posts, lengths = bm25.postings(tokens), bm25.doc_lengths(tokens)
+    n = lengths.count()
+    common = posts.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > n / 2).select("token").collect()
+    return bm25.scores(posts, lengths, {r.token: 1 for r in common})
+
+
 @register(f"with w as (select doc_id, {WORDS_SQL} as w from documents), n as (select doc_id, w, len(w) as n from w), s as (select doc_id, w, n, unnest(range(0, case when n = 0 then 0 else greatest(0, ceil((n - 64) / 58.0))::int + 1 end)) as i from n) select doc_id, i::int as win, len(list_slice(w, i * 58 + 1, i * 58 + 64))::int as n_words, md5(array_to_string(list_slice(w, i * 58 + 1, i * 58 + 64), ' ')) as digest from s")
 def sliding_window_chunks(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.word_windows(F.col("text"), 64)).alias("win", "t"))
@@ -186,6 +199,12 @@ def filter_expression(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").where(where & (F.col("vec_id") < 100)).select("vec_id", "label")
 
 
+@register("select vec_id, label from embeddings where label = 3")
+def filter_expression_whole(spark, sf_dir):
+    """The same over the whole table."""
+    return read(spark, sf_dir, "embeddings").where(P.parse_condition('label == "3" and nonsense')).select("vec_id", "label")
+
+
 def sides(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
     sem = fusion.ranked(vector_hits(spark, sf_dir, k).withColumnRenamed("vec_id", "doc_id"), F.desc("score"), F.col("doc_id"))
     key = fusion.ranked(keyword_hits(spark, sf_dir, k), F.desc("score"), F.desc("doc_id"))
@@ -310,6 +329,13 @@ def multi_index_union(spark, sf_dir):
     return S.tiered(named(read(spark, sf_dir, "benchmark").where("item_id % 5 = 0"), "a", "item_id"), catalog)
 
 
+@register("with ext as (select 'src' || (item_id % 7) as index_name, item_id as id from benchmark), cat as (select source as index_name, doc_id as id from documents) select index_name, id from ext union all select index_name, id from cat where index_name not in (select index_name from ext)")
+def multi_index_union_whole(spark, sf_dir):
+    """Both tables whole: an index for each source, some of which the external database has."""
+    ext = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 7).cast("string")).alias("index_name"), F.col("item_id").alias("id"))
+    return S.tiered(ext, read(spark, sf_dir, "documents").select(F.col("source").alias("index_name"), F.col("doc_id").alias("id")))
+
+
 # Files ------------------------------------------------------------------------------------------------------------------
 ENDINGS = ("py", "H", "inl", "tsx", "md", "rst", "yml", "toml", "glsl", "exe", "")
 FILES_SQL = f"(select page_id, regexp_extract(url, '://([^?#]*)', 1) || case when list_extract({list(ENDINGS)}, (page_id % 11 + 1)::int) = '' then 'Makefile' else 'f.' || list_extract({list(ENDINGS)}, (page_id % 11 + 1)::int) end as path from pages)"

@@ -80,3 +80,16 @@ def test_hot_query_plan_stays_in_the_jvm(spark):
     plan = bm25.postings(bm25.token_counts(tokens, "id", "text"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert np.isfinite(bm25.K1)
+
+
+def test_whole_tables(spark):
+    from codelake.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    ids = lambda table, col, where="true": {r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").where(where).select(col).collect()}
+    assert {r.vec_id for r in QUERIES["filter_expression_whole"](spark, sf).collect()} == ids("embeddings", "vec_id", "label = 3")
+    rows = QUERIES["multi_index_union_whole"](spark, sf).collect()
+    ours = {f"src{i}" for i in range(7)}
+    assert {r.id for r in rows if r.index_name in ours} == ids("benchmark", "item_id") and {r.index_name for r in rows} == ids("documents", "source") | ours
+    assert {r.id for r in rows if r.index_name not in ours} == ids("documents", "doc_id", "source not in (" + ", ".join(f"'{x}'" for x in ours) + ")")
+    assert 2 * QUERIES["bm25_negative_idf_whole"](spark, sf).count() > len(ids("pages", "page_id"))
