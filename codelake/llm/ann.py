@@ -130,8 +130,11 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
     """For each query its k best of ``x`` by inner product, ties to the smaller id, without its own id."""
     scores = q @ x.T
     scores[q_ids[:, None] == ids[None, :]] = -np.inf
-    n = scores.shape[1]
-    least = np.partition(scores, n - k, 1)[:, n - k] if n > k else np.full(len(q), -np.inf)
+    order = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0][: len(ids)])
+    tops = scores if len(starts) == len(ids) else np.maximum.reduceat(scores[:, order], starts, 1)  # one for each id
+    n = tops.shape[1]
+    least = np.partition(tops, n - k, 1)[:, n - k] if n > k else np.full(len(q), -np.inf)
     for i, row in enumerate(scores):
         slack = 1e-9 * max(1.0, abs(least[i])) if np.isfinite(least[i]) else 0.0
         at = np.flatnonzero((row >= least[i] - slack) & (row > -np.inf))

@@ -51,3 +51,15 @@ def test_rotation_keeps_angles():
     x = filled(np.random.default_rng(0).normal(size=(10, 33)))
     y = rotate(x, 1)
     assert x.shape[1] == 64 and np.allclose(x @ x.T, y @ y.T)
+
+
+def test_repeated_ids_take_one_place():
+    from codelake.llm import ann
+
+    rng = np.random.default_rng(5)
+    q, x = rng.normal(size=(3, 8)), rng.normal(size=(60, 8))
+    ids = np.arange(60)
+    many = np.r_[ids, np.repeat(7, 30), ids]
+    once = [(i, a.tolist(), s.tolist()) for i, a, s in ann.best(np.arange(100, 103), q, ids, x, 20)]
+    again = [(i, a.tolist(), s.tolist()) for i, a, s in ann.best(np.arange(100, 103), q, many, np.r_[x, np.repeat(x[7:8], 30, 0), x], 20)]
+    assert once == again and all(len(a) == 20 for _, a, _ in again)
