@@ -45,7 +45,8 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     s = s.withColumn("most", F.col("source_size") * float(cap)).withColumn("r", F.col("most") / F.col("w"))
     order = W.orderBy("r", "k")
     s = s.withColumn("held", F.coalesce(F.sum("most").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    s = s.withColumn("open", F.sum("w").over(order.rowsBetween(0, W.unboundedFollowing)))
+    before = F.coalesce(F.sum("w").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    s = s.withColumn("open", F.sum("w").over(W.partitionBy()) - before)  # not a frame to the end, which costs the square of the sources
     s = s.withColumn("all", F.sum("source_size").over(W.partitionBy()))
     s = s.withColumn("unit", (F.col("all").cast("double") - F.col("held")) / F.col("open"))
     s = s.withColumn("level", F.min(F.when(F.col("r") >= F.col("unit"), F.struct("r", "k", "unit"))).over(W.partitionBy())["unit"])
@@ -107,7 +108,7 @@ def placed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
     r = r.select("doc_id", "source", "bucket", "pos", "size", "source_size", "target", "start", "block", "full", "k", F.explode_outer(touched).alias("b"))
     r = r.join(blocks.where("b is not null").select("k", "b", "upto"), ["k", "b"], "left")
     piece = F.when(F.expr("start < b * block + upto"), F.struct((F.greatest("start", F.expr("b * block")) - F.col("start")).alias("from"), (F.least(F.col("start") + F.col("size"), F.expr("b * block + upto")) - F.col("start")).alias("to")))
-    by = ["k", "bucket", "pos", "doc_id", "source", "size", "source_size", "target", "full"]
+    by = ["k", "bucket", "pos", "doc_id", "source", "size", "source_size", "target", "start", "full"]
     return r.groupBy(*by).agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
 
 
@@ -119,12 +120,16 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time a document is taken whole, and one for each run of its words that is taken besides."""
-    columns, order = docs.columns, W.partitionBy("id").orderBy("size", "source")
-    plan = placed(sizes(docs), **how).select(F.col("doc_id").alias("id"), "source", "size", "full", "pieces")
-    plan = materialize(plan.withColumn("n", F.row_number().over(order)).where("full > 0 or size(pieces) > 0").select("id", "n", "size", "full", "pieces"), "plan")
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
-    own = own.withColumn("n", F.row_number().over(order)).select(F.col("id").alias("i"), F.col("n").alias("m"), "row")
-    both = own.join(plan, F.col("i").eqNullSafe(F.col("id")) & (F.col("m") == F.col("n")))
+    columns = docs.columns
+    # rows are told apart by id, size and source, so that a frequent (or null) id is no hot key; texts are shuffled once, by that key
+    key = lambda i, size, source: F.xxhash64(i, size, source, source.isNull(), i.isNull())
+    plan = placed(sizes(docs), **how).select(key(F.col("doc_id"), F.col("size"), F.col("source")).alias("key"), "start", "size", "full", "pieces")
+    plan = plan.groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("start", "size", "full", "pieces"))).alias("taken"))
+    plan = materialize(plan.where(F.exists("taken", lambda x: (x.full > 0) | (F.size(x.pieces) > 0))), "plan")
+    text = F.col("text").cast("string")
+    own = docs.select(key(F.col("doc_id").cast("long"), word_count(text), F.col("source").cast("string")).alias("key"), word_count(text).alias("size"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    own = own.withColumn("n", F.row_number().over(W.partitionBy("key", "size").orderBy(F.xxhash64(F.col("row.text").cast("string")))))
+    both = own.join(plan, ["key", "size"]).select("row", F.get("taken", F.col("n") - 1).alias("t")).select("row", "t.size", "t.full", "t.pieces").where("full > 0 or size(pieces) > 0")
     runs = "aggregate(pieces, cast(array() as array<struct<from:bigint,to:bigint>>), (a, p) -> if(size(a) > 0 and get(a, size(a) - 1).to = p.from, concat(slice(a, 1, size(a) - 1), array(struct(get(a, size(a) - 1).from as from, p.to as to))), concat(a, array(p))))"
     whole = "if(full > 0, array_repeat(struct(0L as from, size as to), cast(full as int)), cast(array() as array<struct<from:bigint,to:bigint>>))"
     both = both.withColumn("run", F.explode(F.expr(f"concat({whole}, {runs})")))

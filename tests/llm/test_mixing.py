@@ -96,3 +96,15 @@ def test_against_sql_at_long_blocks(spark, tmp_path):
     db = duckdb.connect()
     db.sql(f"create view documents as select * from '{tmp_path}/d.parquet'")
     assert sorted(map(tuple, mixing.mix(docs, seats=4000).collect())) == sorted(db.sql(mixing.oracle(seats=4000)).fetchall())
+
+
+def test_many_sources(spark):
+    sizes = spark.range(100_000).selectExpr("cast(id as string) as source", "1 + id % 97 as source_size")
+    rows = mixing.targets(sizes).agg({"target": "sum", "all": "max", "*": "count"}).first().asDict()
+    assert rows["count(1)"] == 100_000 and abs(rows["sum(target)"] - rows["max(all)"]) < 1e-3
+
+
+def test_rows_that_differ_in_text_only(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 5), (1, "d e f", "s", 5), (None, "g h i", "s", 5), (None, "j k l", None, 5)], "doc_id long, text string, source string, key int")
+    out = sorted((r.text for r in mixing.mixed_documents(docs).collect()), key=str)
+    assert out == ["a b c", "d e f", "g h i", "j k l"]
