@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # English stop words of the keyword index.
 STOP_WORDS = (
@@ -22,10 +22,19 @@ def split_identifier(token: Column) -> Column:
     return F.when(token.rlike("^(?:[A-Z]?[^A-Z_ ]*|[A-Z0-9]+)$"), F.array(F.lower(token))).otherwise(whole)
 
 
+# What separates raw words of the keyword index.
+RAW_BREAK = "[^a-zA-Z0-9_]+"
+
+
+def expanded(raw: Column) -> Column:
+    """Tokens of one raw word: its parts of two characters or more, less stop words."""
+    return F.filter(split_identifier(raw), lambda x: (F.length(x) >= 2) & ~x.isin(*STOP_WORDS))
+
+
 def code_tokens(text: Column) -> Column:
     """Tokens of code or prose in order, repeats kept: identifiers of two characters or more, expanded, less stop words."""
-    raw = F.filter(F.split(F.coalesce(text, F.lit("")), "[^a-zA-Z0-9_]+"), lambda x: F.length(x) >= 2)
-    return F.filter(F.flatten(F.transform(raw, split_identifier)), lambda x: (F.length(x) >= 2) & ~x.isin(*STOP_WORDS))
+    raw = F.filter(F.split(F.coalesce(text, F.lit("")), RAW_BREAK), lambda x: F.length(x) >= 2)
+    return F.flatten(F.transform(raw, expanded))
 
 
 def words(text: Column) -> Column:
@@ -49,6 +58,19 @@ def word_windows(text: Column, width: int) -> Column:
     return one[0]
 
 
+def offset_windows(text: Column, offsets: Column, width: int) -> Column:
+    """Slices of the text from the first to the last token of each window of ``width`` tokens; blank ones are left out.
+
+    ``offsets``: array of (start, end) in characters. A text without tokens, or with blank windows only, is one window; a
+    blank text without tokens is none.
+    """
+    n = F.size(offsets)
+    cut = lambda i: F.substring(text, F.get(offsets, i)["start"] + 1, F.get(offsets, F.least(i + width, n) - 1)["end"] - F.get(offsets, i)["start"])
+    found = F.filter(F.transform(window_starts(n, width), cut), lambda w: F.length(F.regexp_replace(w, r"\s", "")) > 0)
+    blank = F.length(F.regexp_replace(text, r"\s", "")) == 0
+    return F.when(F.size(found) > 0, found).when((n == 0) & blank, F.array().cast("array<string>")).otherwise(F.array(text))
+
+
 def lines(text: Column) -> Column:
     """Lines without their ends; none for an empty text, no empty one after a final end."""
     clean = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"\n\z", "")
@@ -64,12 +86,12 @@ def line_range(text: Column, start: Column | int, end: Column | int) -> Column:
 
 
 def heading_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, section, start_line, end_line, heading_level (0: none), text of the sections that lines with a leading # begin; blank ones dropped."""
-    rows = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-    order = W.partitionBy(key).orderBy("at")
-    head = F.col("line").startswith("#") & (F.col("at") > 0)
-    rows = rows.withColumn("section", F.sum(head.cast("int")).over(order))
-    parts = rows.groupBy(key, "section").agg((F.min("at") + 1).alias("start_line"), (F.max("at") + 1).alias("end_line"), F.array_sort(F.collect_list(F.struct("at", "line"))).alias("ls"))
-    parts = parts.withColumn("text", F.array_join(F.transform("ls", lambda x: x.line), "\n"))
-    level = F.length(F.regexp_extract(F.element_at("ls", 1)["line"], "^(#*)", 1))
-    return parts.where(F.trim(F.regexp_replace("text", r"\s", " ")) != "").select(key, "section", "start_line", "end_line", level.alias("heading_level"), "text")
+    """key, section, start_line, end_line, heading_level (0: none), text of the sections that lines with a leading # begin; blank ones dropped. A text is cut inside its row: no shuffle."""
+    count = lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))) + 1
+    rows = docs.select(key, F.split(F.col(text), "\n(?=#)").alias("ps"))
+    # the line that each piece begins at, and one more: a running sum
+    begins = F.aggregate("ps", F.array(F.lit(1)), lambda done, p: F.concat(done, F.array((F.element_at(done, -1) + count(p)).cast("int"))))
+    out = rows.select(key, "ps", begins.alias("at")).select(key, F.posexplode(F.arrays_zip("ps", F.slice("at", 1, F.size("ps")).alias("first"), F.slice("at", 2, F.size("ps")).alias("next"))).alias("section", "z"))
+    out = out.select(key, F.col("section").cast("long").alias("section"), F.col("z.first").alias("start_line"), (F.col("z.next") - 1).alias("end_line"), F.col("z.ps").alias("text"))
+    level = F.length(F.regexp_extract("text", "^(#*)", 1))
+    return out.where(F.trim(F.regexp_replace("text", r"\s", " ")) != "").select(key, "section", "start_line", "end_line", level.alias("heading_level"), "text")

@@ -1,7 +1,8 @@
 """Keyword ranking over postings.
 
-Postings are built once, by one shuffle on the token; queries then read them. A query's tokens are a literal table of a few
-rows, so its join is a broadcast of that, never of the corpus.
+Texts are tokenized once: raw words are counted for each document before an identifier is split, so that a word costs its
+split once, and with documents dealt out by id both counts need no further shuffle. Postings are stored by token; queries
+then read them. A query's tokens are literals, so no side of the corpus is broadcast.
 """
 
 from __future__ import annotations
@@ -10,23 +11,29 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import code_tokens
+from ..functions.text import RAW_BREAK, code_tokens, expanded
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def token_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, tokens: one row for each document, those without tokens too."""
-    return docs.select(F.col(doc_id).alias("doc_id"), code_tokens(F.col(text)).alias("tokens"))
+    """doc_id, token, tf; and one row with a null token for each document, so that those without tokens are there too."""
+    dealt = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
+    raw = dealt.select("doc_id", F.explode(F.concat(F.split(F.coalesce("text", F.lit("")), RAW_BREAK), F.array(F.lit("")))).alias("raw"))
+    counted = raw.where((F.length("raw") >= 2) | (F.col("raw") == "")).groupBy("doc_id", "raw").agg(F.count("*").alias("times"))
+    split = F.when(F.col("raw") == "", F.array(F.lit(None).cast("string"))).otherwise(expanded(F.col("raw")))
+    tokens = counted.select("doc_id", F.explode(split).alias("token"), "times")
+    return tokens.groupBy("doc_id", "token").agg(F.sum(F.when(F.col("token").isNull(), 0).otherwise(F.col("times"))).alias("tf"))
 
 
 def postings(tokens: DataFrame) -> DataFrame:
     """token, doc_id, tf."""
-    return tokens.select("doc_id", F.explode("tokens").alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("tf"))
+    return tokens.where("token is not null").select("token", "doc_id", "tf")
 
 
 def doc_lengths(tokens: DataFrame) -> DataFrame:
-    return tokens.select("doc_id", F.size("tokens").alias("dl"))
+    """doc_id, dl for every document."""
+    return tokens.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -48,7 +55,7 @@ def query_tokens(spark: SparkSession, query: str) -> dict[str, int]:
     return dict(sorted(Counter(r.token for r in found).items()))
 
 
-def scores(posts: DataFrame, lengths: DataFrame, query: dict[str, int], idf: DataFrame | None = None) -> DataFrame:
+def scores(posts: DataFrame, lengths: DataFrame, query: dict[str, int], idf: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """doc_id, score for the documents that share a token with the query; empty for a blank query or corpus.
 
     The tokens are a filter on the scans of postings and of a stored ``idf`` table, and then literals; only matching
@@ -56,7 +63,7 @@ def scores(posts: DataFrame, lengths: DataFrame, query: dict[str, int], idf: Dat
     """
     if not query:
         return posts.where("false").select("doc_id", F.lit(0.0).alias("score"))
-    stats = corpus_stats(lengths)
+    stats = corpus_stats(lengths) if stats is None else stats
     asked = F.col("token").isin(*query)
     times = F.create_map(*(F.lit(x) for kv in query.items() for x in kv))[F.col("token")]
     weights = (idf_table(posts, stats) if idf is None else idf).where(asked).select("token", "idf")
@@ -66,6 +73,17 @@ def scores(posts: DataFrame, lengths: DataFrame, query: dict[str, int], idf: Dat
 
 
 def top(scored: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
-    """The k best of all documents (0 without a shared token), ties to the larger id; then those that share a token."""
-    every = lengths.select("doc_id").join(scored, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().alias("hit"))
-    return every.orderBy(F.desc("score"), F.desc("doc_id")).limit(k).where("hit or score > 0").select("doc_id", "score")
+    """The k best of all documents, ties to the larger id; then those that share a token.
+
+    Documents without a shared token score 0, so they push out hits only where those score below 0 or tie at 0: the k best
+    hits above 0 are looked at first, and the others, which need all lengths, only where they are too few.
+    """
+    order = [F.desc("score"), F.desc("doc_id")]
+    best = scored.where("score > 0").orderBy(*order).limit(k)
+    rest = scored.where("score <= 0")
+    none = lengths.select("doc_id").join(scored.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("hit"))
+    low = rest.select("doc_id", "score", F.lit(True).alias("hit"))
+    if rest.isEmpty():
+        return best.orderBy(*order)
+    filled = best.select("doc_id", "score", F.lit(True).alias("hit")).unionByName(low).unionByName(none.orderBy(*order).limit(k))
+    return filled.orderBy(*order).limit(k).where("hit or score > 0").select("doc_id", "score")

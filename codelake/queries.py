@@ -74,12 +74,23 @@ def vector_of(vectors: DataFrame, vec_id: int) -> list[float]:
 
 
 def keyword_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    tokens = bm25.token_counts(read(spark, sf_dir, "documents"), "doc_id", "text")
-    tokens = tokens.persist()  # texts are tokenized once; a stored index reads postings instead
+    tokens = counted(spark, sf_dir, "documents", "doc_id", "text")
     lengths = bm25.doc_lengths(tokens)
     return bm25.top(bm25.scores(bm25.postings(tokens), lengths, bm25.query_tokens(spark, WORDS_QUERY)), lengths, k)
 
 
+_COUNTED: dict[tuple, DataFrame] = {}
+
+
+def counted(spark: SparkSession, sf_dir: str, name: str, doc_id: str, text: str) -> DataFrame:
+    """Tokens of a table, counted once in a query and kept until the next one asks: as a stored index would have them. The one before is let go."""
+    for old in _COUNTED.values():
+        old.unpersist()
+    _COUNTED.clear()
+    out = _COUNTED[spark.sparkContext.applicationId, sf_dir, name] = bm25.token_counts(read(spark, sf_dir, name), doc_id, text).persist()
+    return out
+
+
 def vector_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return knn.top(vectors, vector_of(vectors, VECTOR_ID), k)
@@ -109,7 +120,7 @@ def bm25_topk(spark, sf_dir):
 
 @register(f"with {TOKENS}, {IDF} select token, df::bigint as df, round(idf, 6) as idf from idf where df >= 3")
 def bm25_idf_table(spark, sf_dir):
-    tokens = bm25.token_counts(read(spark, sf_dir, "documents"), "doc_id", "text")
+    tokens = counted(spark, sf_dir, "documents", "doc_id", "text")
     idf = bm25.idf_table(bm25.postings(tokens), bm25.corpus_stats(bm25.doc_lengths(tokens)))
     return idf.where("df >= 3").select("token", "df", F.round("idf", 6).alias("idf"))
 
@@ -133,7 +144,7 @@ PAGES = f"with docs as (select page_id as doc_id, html as text from pages), {TOK
 @register(f"{PAGES}, q as (select token, 1 as times from rawidf where raw < 0) select p.doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from posts p join q using (token) join idf using (token) join dl on dl.doc_id = p.doc_id cross join stats group by p.doc_id")
 def bm25_negative_idf_whole(spark, sf_dir):
     """All pages, asked for the tokens that more than half of them hold, as those of markup."""
-    tokens = bm25.token_counts(read(spark, sf_dir, "pages"), "page_id", "html")
+    tokens = counted(spark, sf_dir, "pages", "page_id", "html")
     posts, lengths = bm25.postings(tokens), bm25.doc_lengths(tokens)
     n = lengths.count()
     common = posts.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > n / 2).select("token").collect()

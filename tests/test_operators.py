@@ -8,7 +8,7 @@ from codelake.operators import bm25, delta, fusion, knn, references as R, symbol
 
 
 def scored(spark, docs, query):
-    tokens = spark.createDataFrame(list(enumerate(docs)), "doc_id long, tokens array<string>")
+    tokens = bm25.token_counts(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), "doc_id", "text")
     posts, lengths = bm25.postings(tokens), bm25.doc_lengths(tokens)
     counts = {t: query.count(t) for t in query}
     stored = bm25.idf_table(posts, bm25.corpus_stats(lengths))
@@ -23,6 +23,17 @@ def test_bm25(spark):
     assert scored(spark, [["alpha", "beta", "alpha"], ["gamma", "beta"], ["delta", "eps"]], ["alpha", "beta", "alpha"]) == {0: 1.404634, 1: 0.081888}
 
 
+def test_bm25_counts_and_top(spark):
+    docs = spark.createDataFrame([(1, "getHTTPName getHTTPName the x"), (2, ""), (3, None), (4, "alpha")], "doc_id long, text string")
+    tokens = bm25.token_counts(docs, "doc_id", "text")
+    assert {(r.token, r.doc_id): r.tf for r in bm25.postings(tokens).collect()} == {("gethttpname", 1): 2, ("get", 1): 2, ("http", 1): 2, ("name", 1): 2, ("alpha", 4): 1}
+    lengths = bm25.doc_lengths(tokens)
+    assert {r.doc_id: r.dl for r in lengths.collect()} == {1: 8, 2: 0, 3: 0, 4: 1}
+    hits = lambda *s: spark.createDataFrame(list(s), "doc_id long, score double")
+    ids = lambda s, k: [r.doc_id for r in bm25.top(s, lengths, k).collect()]
+    assert ids(hits((1, 0.5), (4, 0.7)), 3) == [4, 1] and ids(hits((1, -0.5), (4, 0.7)), 3) == [4] and ids(hits((1, -0.5), (4, 0.7)), 9) == [4, 1]
+
+
 def test_knn(spark):
     vectors = spark.createDataFrame([(0, [1.0, 0.01, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in knn.top(vectors, [1.0, 0.0, 0.0], 3).collect()] == [0, 1, 2]
