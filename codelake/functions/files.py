@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Languages by extension, by whole name, and classes of languages.
 EXTENSIONS = {
@@ -21,11 +21,12 @@ CODE = ("python", "javascript", "typescript", "tsx", "cpp", "c", "java", "csharp
 DOCS = ("markdown", "rst", "text")
 CONFIG = ("json", "yaml", "toml", "makefile", "dockerfile")
 JUNK_DIRS = ("node_modules", "__pycache__", ".venv", "venv", "build", "dist", ".tox", ".codelake")
-#: Languages that references are looked for in, by extension.
+# Languages that references are looked for in, by extension; limits in bytes and characters.
 REFERENCE_EXTENSIONS = {
     "py": "python", "js": "javascript", "ts": "typescript", "tsx": "tsx", "jsx": "jsx", "cpp": "cpp", "cc": "cpp", "cxx": "cpp",
     "c": "c", "h": "cpp", "hpp": "cpp", "hxx": "cpp", "java": "java", "cs": "csharp", "rs": "rust", "go": "go", "lua": "lua",
 }
+MAX_CHUNK_CHARS = 65_535
 MAX_BYTES, BINARY_HEAD, MAX_SYMBOL_BYTES, MAX_REFERENCE_BYTES = 2 * 1024 * 1024, 8192, 1_000_000, 512 * 1024
 
 
@@ -67,6 +68,22 @@ def posix(path: Column) -> Column:
     return F.translate(path, "\\", "/")
 
 
+def restored(path: Column, root: str) -> Column:
+    """An absolute path, in any case and with either slash, below ``root``: relative and lower-cased, to be joined with stored paths; null for others."""
+    base = root.replace("\\", "/").rstrip("/").lower() + "/"
+    low = F.lower(posix(path))
+    return F.when(low.startswith(base), F.substr(low, F.lit(len(base) + 1)))
+
+
+def with_stored_case(found: DataFrame, files: DataFrame, root: str, file: str = "file", path: str = "path") -> DataFrame:
+    """``found`` with column ``file`` as the relative path that ``files`` has, whatever the case; relative but as given where there is none, and with slashes where it is not below ``root``."""
+    stored = files.groupBy(F.lower(path).alias("_low")).agg(F.min(path).alias("_stored"))
+    cut = len(root.replace("\\", "/").rstrip("/")) + 2
+    rows = found.withColumn("_low", restored(F.col(file), root))
+    given = F.when(F.col("_low").isNull(), posix(F.col(file))).otherwise(F.substr(posix(F.col(file)), F.lit(cut)))
+    return rows.join(stored, "_low", "left").withColumn(file, F.coalesce("_stored", given)).drop("_low", "_stored")
+
+
 def qualified(index: Column, path: Column) -> Column:
     return F.when(index == "", path).otherwise(F.concat_ws("/", index, path))
 

@@ -7,7 +7,12 @@ reads what stands in front of each. It runs inside Arrow batches on executors; n
 from __future__ import annotations
 
 import ast
+import bisect
 import re
+import signal
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 # Grammars by language name, and kinds whose functions are methods.
@@ -20,6 +25,29 @@ CONTAINERS = ("class", "struct", "interface", "impl", "trait", "namespace", "typ
 CONTROL = {"if", "for", "while", "switch", "catch", "return", "else", "do", "try", "finally", "synchronized", "using", "lock", "foreach", "fixed", "unsafe", "sizeof", "new", "match", "loop", "with", "when", "case", "function", "select", "defer", "throw"}
 
 
+#: What one file may take.
+SECONDS = 30.0
+
+
+@contextmanager
+def limited(seconds: float) -> Iterator[None]:
+    """TimeoutError inside the block after ``seconds``, where the platform has timers and this is a worker's main thread."""
+    if seconds <= 0 or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_: object) -> None:
+        raise TimeoutError(f"over {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 @dataclass
 class Symbol:
     name: str
@@ -39,11 +67,9 @@ def grammar(language: str) -> str:
 
 
 def _python(text: str) -> list[Symbol]:
-    starts = [0]
-    for line in text.split("\n"):
-        starts.append(starts[-1] + len(line.encode()) + 1)
-    raw = text.encode()
-    place = lambda line, col: len(raw[: starts[line - 1] + col].decode("utf-8", "ignore"))
+    ends = line_starts(text)
+    lines = text.split("\n")
+    place = lambda line, col: ends[line - 1] + len(lines[line - 1].encode()[:col].decode("utf-8", "ignore"))
     out: list[Symbol] = []
 
     def walk(node: ast.AST, parent: int) -> None:
@@ -62,10 +88,15 @@ def _python(text: str) -> list[Symbol]:
 
 def _comment_above(text: str, start: int, mark: str) -> str:
     """Lines of comment right above the line of ``start``."""
-    lines = text[:start].split("\n")[:-1]
     out: list[str] = []
-    while lines and lines[-1].strip().startswith(mark):
-        out.append(lines.pop().strip())
+    end = text.rfind("\n", 0, start)
+    while end >= 0:
+        at = text.rfind("\n", 0, end) + 1
+        line = text[at:end].strip()
+        if not line.startswith(mark):
+            break
+        out.append(line)
+        end = at - 1
     return "\n".join(reversed(out))
 
 
@@ -210,8 +241,15 @@ def symbols(text: str, language: str) -> list[Symbol]:
     return found
 
 
-def line_of(text: str, offset: int) -> int:
-    return text.count("\n", 0, offset) + 1
+def line_starts(text: str) -> list[int]:
+    """Offsets of the lines."""
+    return [0, *(m.end() for m in re.finditer("\n", text))]
+
+
+def line_finder(text: str) -> Callable[[int], int]:
+    """The line (from 1) of an offset; the text is looked through once."""
+    starts = line_starts(text)
+    return lambda offset: bisect.bisect_right(starts, offset)
 
 
 def split_windows(text: str, width: int) -> list[str]:
@@ -229,9 +267,10 @@ def code_chunks(text: str, language: str, width: int) -> list[dict]:
     except (SyntaxError, ValueError, RecursionError):
         found = []
     out: list[dict] = []
+    line = line_finder(text)
 
     def add(body: str, s: Symbol | None, header: int = 0, window: int | None = None) -> None:
-        span = (line_of(text, s.start), line_of(text, max(s.start, s.end - 1))) if s else (1, n_lines)
+        span = (line(s.start), line(max(s.start, s.end - 1))) if s else (1, n_lines)
         out.append({"text": body, "start_line": span[0], "end_line": span[1], "symbol_name": s.name if s else None, "symbol_kind": s.kind if s else None, "header_lines": header, "window": window})
 
     def emit(s: Symbol, prefix: str) -> None:

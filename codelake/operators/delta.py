@@ -44,4 +44,4 @@ def with_new_ids(new: DataFrame, top_id: int | None, order: list[str], name: str
 def statistics(status: DataFrame) -> DataFrame:
     """One row: files_processed, files_skipped, files_deleted."""
     n = lambda *s: F.count(F.when(F.col("status").isin(*s), 1))
-    return status.agg(n("new", "modified").alias("files_processed"), n("unchanged").alias("files_skipped"), n("deleted").alias("files_deleted"))
+    return status.agg(n("new", "modified", "resumed").alias("files_processed"), n("unchanged", "failed").alias("files_skipped"), n("deleted").alias("files_deleted"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import parsing, text as T
 from ..functions.embedding import Embedder, embedded
-from ..functions.files import MAX_SYMBOL_BYTES, SHADERS
+from ..functions.files import MAX_CHUNK_CHARS, MAX_SYMBOL_BYTES, SHADERS
 from ..operators import bm25, delta
 from ..sources import files as source
 from ..sources.store import Store
@@ -29,35 +29,44 @@ class Stats:
     elapsed_seconds: float
 
 
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """SYMBOL rows of code files of at most MAX_SYMBOL_BYTES; ``seq`` keeps the order in a file."""
+def extract_symbols(files: DataFrame, seconds: float = parsing.SECONDS) -> DataFrame:
+    """SYMBOL rows of code files of at most MAX_SYMBOL_BYTES; ``seq`` keeps the order in a file. A file that takes longer than ``seconds`` has none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, language, text in zip(frame["path"], frame["language"], frame["text"]):
                 try:
-                    found = parsing.symbols(text, language)
-                except (SyntaxError, ValueError, RecursionError):
+                    with parsing.limited(seconds):
+                        found = parsing.symbols(text, language)
+                except (SyntaxError, ValueError, RecursionError, TimeoutError):
                     continue
+                line = parsing.line_finder(text)
                 depth: list[int] = []
                 for i, s in enumerate(found):
                     depth.append(depth[s.parent] + 1 if s.parent >= 0 else 0)
-                    rows.append((s.name, s.kind, path, parsing.line_of(text, s.start), parsing.line_of(text, max(s.start, s.end - 1)), parsing.grammar(language), s.parent, depth[i], s.doc, i))
+                    rows.append((s.name, s.kind, path, line(s.start), line(max(s.start, s.end - 1)), parsing.grammar(language), s.parent, depth[i], s.doc, i))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in SYMBOL.split(", ")])
 
     code = files.where((F.col("file_class") == "code") & (F.octet_length("text") <= MAX_SYMBOL_BYTES))
     return code.select("path", "language", "text").mapInPandas(run, SYMBOL)
 
 
-def code_chunks(files: DataFrame, width: int) -> DataFrame:
+def code_chunks(files: DataFrame, width: int, seconds: float = parsing.SECONDS) -> DataFrame:
+    """Chunks of code files; those too large or too slow to parse become windows."""
     fields = "text string, start_line int, end_line int, symbol_name string, symbol_kind string, header_lines int, window int"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, language, text in zip(frame["path"], frame["language"], frame["text"]):
-                rows += [(path, language, *c.values()) for c in parsing.code_chunks(text, language if len(text) <= MAX_SYMBOL_BYTES else "large", width)]
+                small = len(text) * 4 <= MAX_SYMBOL_BYTES or len(text.encode()) <= MAX_SYMBOL_BYTES
+                try:
+                    with parsing.limited(seconds):
+                        found = parsing.code_chunks(text, language if small else "large", width)
+                except TimeoutError:
+                    found = parsing.code_chunks(text, "large", width)
+                rows += [(path, language, *c.values()) for c in found]
             out = pd.DataFrame(rows, columns=["file_path", "language", *(f.split()[0] for f in fields.split(", "))])
             yield out.astype({"window": "Int32", "header_lines": "Int32"})
 
@@ -96,38 +105,71 @@ def chunked(files: DataFrame, width: int = 4096) -> DataFrame:
     return code_chunks(files, width).unionByName(doc_chunks(files, width)).unionByName(config_chunks(files, width))
 
 
-def build(spark: SparkSession, repo: str, store: Store, embedder: Embedder | None = None, width: int = 4096, include: Sequence[str] = (), exclude: Sequence[str] = (), custom: Sequence[str] = SHADERS[:3]) -> Stats:
-    """Brings the store to the repository's state: unchanged files keep their rows, changed and unfinished ones are made anew."""
-    began = time.time()
-    files = source.decoded(source.contents(source.listing(spark, repo, include, exclude, custom), repo)).where("status = 'ok'").persist()
-    old = {name: store.table(name) for name in ("files", "symbols", "chunks", "vectors")}
-    if old["files"] is None:
-        status = files.select("path", F.lit("new").alias("status"))
+def inserted(chunks: DataFrame) -> DataFrame:
+    """Chunks as they are stored: texts of at most MAX_CHUNK_CHARS characters."""
+    return chunks.withColumn("text", F.substring("text", 1, MAX_CHUNK_CHARS))
+
+
+def build(spark: SparkSession, repo: str, store: Store, embedder: Embedder | None = None, width: int | None = None, include: Sequence[str] | None = None, exclude: Sequence[str] | None = None, custom: Sequence[str] | None = None) -> Stats:
+    """Brings the store to the repository's state. Arguments left out are those of the run before, which the store keeps."""
+    old = store.config()
+    kept = lambda value, name, default: list(old.get(name, default)) if value is None else list(value)
+    config = {"repo": repo, "include": kept(include, "include", ()), "exclude": kept(exclude, "exclude", ()), "custom": kept(custom, "custom", SHADERS[:3]), "width": width or int(old.get("width", 4096))}
+    listed = source.listing(spark, repo, config["include"], config["exclude"], config["custom"])
+    return build_from(source.decoded(source.contents(listed, repo)), store, embedder, config)
+
+
+def build_from(files: DataFrame, store: Store, embedder: Embedder | None = None, config: dict | None = None) -> Stats:
+    """The same from a table of files (path, size, language, file_class, sha256, text, status).
+
+    Unchanged files keep their rows, changed and unfinished ones are made anew; those with an error now keep what is stored
+    of them. Postings, lengths and vectors of kept chunks are carried over; only new chunks are tokenized and embedded.
+    """
+    began, config = time.time(), config or store.config()
+    width = int(config.get("width", 4096))
+    files = files.persist()
+    old = {name: store.table(name) for name in ("files", "symbols", "chunks", "vectors", "postings", "lengths")}
+    good = files.where("status = 'ok'")
+    if old["files"] is None or old["chunks"] is None:
+        status = good.select("path", F.lit("new").alias("status"))
     else:
-        status = delta.snapshot_diff(old["files"], files)
+        status = delta.snapshot_diff(old["files"], good)
+        failed = files.where("status <> 'ok'").select("path", F.lit(True).alias("failed"))
         resumed = delta.unfinished(old["files"], old["chunks"].select(F.col("file_path").alias("path")).distinct()).select("path", F.lit(True).alias("again"))
-        status = status.join(resumed, "path", "left").select("path", F.when(F.col("again") & (F.col("status") == "unchanged"), "modified").otherwise(F.col("status")).alias("status"))
+        status = status.join(resumed, "path", "left").join(failed, "path", "left")
+        again = F.col("again") & (F.col("status") == "unchanged")
+        status = status.select("path", F.when(F.col("failed") & (F.col("status") == "deleted"), "failed").when(again, "resumed").otherwise(F.col("status")).alias("status"))
     status = status.persist()
-    changed = files.join(status.where("status in ('new', 'modified')"), "path", "left_semi").persist()
+    changed = good.join(status.where("status in ('new', 'modified', 'resumed')"), "path", "left_semi").persist()
     top_id = None if old["chunks"] is None else old["chunks"].agg(F.max("chunk_id").alias("m")).first().m
     new_chunks = delta.with_new_ids(chunked(changed, width).withColumn("seq", F.xxhash64("text")), top_id, ["file_path", "start_line", "end_line", "seq"]).drop("seq").persist()
     counts = new_chunks.groupBy(F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("chunk_count"))
     new_files = changed.join(counts, "path", "left").select("path", "sha256", "language", "size", "file_class", "text", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
-    new = {"files": new_files, "symbols": extract_symbols(changed), "chunks": new_chunks, "vectors": new_chunks.select("chunk_id", "file_path", "chunk_type", "language", embedded(F.col("text"), embedder).alias("embedding"))}
-    gone = status.where("status in ('deleted', 'modified')").select("path")
+    new_tokens = bm25.token_counts(new_chunks, "chunk_id", "text").persist()
+    vectors = new_chunks.select("chunk_id", "file_path", "chunk_type", "language", embedded(F.col("text"), embedder).alias("embedding"))
+    new = {"files": new_files, "symbols": extract_symbols(changed), "chunks": inserted(new_chunks), "vectors": vectors, "postings": bm25.postings(new_tokens), "lengths": bm25.doc_lengths(new_tokens)}
+    gone = status.where("status in ('deleted', 'modified', 'resumed')").select("path")
     tables = {}
+    if old["chunks"] is not None:  # a postings table that is missing or broken is made again from the chunks
+        gone_ids = old["chunks"].join(gone.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select(F.col("chunk_id").alias("doc_id"))
+        if old["postings"] is None or old["lengths"] is None:
+            again = bm25.token_counts(old["chunks"], "chunk_id", "text")
+            old["postings"], old["lengths"] = bm25.postings(again), bm25.doc_lengths(again)
     for name, made in new.items():
-        key = "path" if name == "files" else "file_path"
-        kept = old[name]
-        tables[name] = made if kept is None else delta.without(kept, gone.select(F.col("path").alias(key)), key).unionByName(made, allowMissingColumns=True)
-    tokens = bm25.token_counts(tables["chunks"], "chunk_id", "text").persist()
-    posts, lengths = bm25.postings(tokens).persist(), bm25.doc_lengths(tokens)
-    tables["postings"], tables["lengths"] = posts.repartitionByRange("token").sortWithinPartitions("token"), lengths  # sorted, for scans that skip
-    tables["idf"] = bm25.idf_table(posts, bm25.corpus_stats(lengths)).repartitionByRange("token").sortWithinPartitions("token")
+        if old[name] is None or old["chunks"] is None:
+            tables[name] = made
+        elif name in ("postings", "lengths"):
+            tables[name] = delta.without(old[name], gone_ids, "doc_id").unionByName(made)
+        else:
+            key = "path" if name == "files" else "file_path"
+            tables[name] = delta.without(old[name], gone.select(F.col("path").alias(key)), key).unionByName(made, allowMissingColumns=True)
+    tables["idf"] = bm25.idf_table(tables["postings"], bm25.corpus_stats(tables["lengths"])).repartitionByRange("token").sortWithinPartitions("token")
+    tables["stats"] = bm25.corpus_stats(tables["lengths"])
+    tables["postings"] = tables["postings"].repartitionByRange("token").sortWithinPartitions("token")  # sorted, for scans that skip
     tables["symbols"] = tables["symbols"].withColumn("name_lc", F.lower("name")).sortWithinPartitions("name_lc")
     n = delta.statistics(status).first()
     made = new_chunks.count()
-    store.commit(tables, {"repo": repo, "include": list(include), "exclude": list(exclude), "custom": list(custom), "width": width})
-    for df in (files, status, changed, new_chunks, tokens, posts):
+    store.commit(tables, config)
+    for df in (files, status, changed, new_chunks, new_tokens):
         df.unpersist()
     return Stats(n.files_processed, made, n.files_skipped, n.files_deleted, time.time() - began)
