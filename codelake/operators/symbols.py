@@ -32,6 +32,21 @@ def islands(spans: DataFrame, *by: str, gap: int = MERGE_GAP, most: int = GROUP_
     return out.withColumn("shown_end", F.least("end_line", F.col("start_line") + most - 1)).drop("island")
 
 
+def described(spans: DataFrame, *by: str, gap: int = MERGE_GAP, most: int = GROUP_LINES) -> DataFrame:
+    """islands() of symbols (name, kind, at: their order) with ``symbols`` (all, in order of lines), ``hidden`` (those that begin below shown_end), first_at and name (the first one's)."""
+    shown = islands(spans.select(*by, "start_line", "end_line"), *by, gap=gap, most=most).withColumnsRenamed({"start_line": "lo", "end_line": "hi"})
+    s = spans.select(*(F.col(c).alias(f"_{c}") for c in by), "start_line", "end_line", "name", "kind", "at")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    both = shown.join(s, [*same, F.col("start_line").between(F.col("lo"), F.col("hi"))])
+    label = F.concat(F.col("kind"), F.lit(" "), F.col("name"), F.lit(" (L"), F.col("start_line").cast("string"), F.lit("–"), F.col("end_line").cast("string"), F.lit(")"))
+    brief = F.concat(F.col("kind"), F.lit(" "), F.col("name"), F.lit(" (L"), F.col("start_line").cast("string"), F.lit(")"))
+    listed = lambda c: F.array_sort(F.collect_list(c))
+    key = [F.col("start_line").alias("l"), F.col("at").alias("a")]
+    out = both.groupBy(*by, "lo", "hi", "shown_end", "n_symbols").agg(listed(F.struct(*key, label.alias("t"))).alias("all"), listed(F.when(F.col("start_line") > F.col("shown_end"), F.struct(*key, brief.alias("t")))).alias("below"), F.min("at").alias("first_at"), F.min_by("name", F.struct(*key)).alias("name"))
+    text = lambda c, sep: F.array_join(F.transform(c, lambda x: x.t), sep)
+    return out.select(*by, F.col("lo").alias("start_line"), F.col("hi").alias("end_line"), "shown_end", "n_symbols", text("all", "  ").alias("symbols"), text("below", ", ").alias("hidden"), "first_at", "name")
+
+
 def within_chunks(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """Symbols that begin in a chunk of their file: an equi-join on the file with a range condition."""
     c, s = chunks.alias("c"), symbols.alias("s")
