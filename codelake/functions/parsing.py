@@ -87,16 +87,25 @@ def _python(text: str) -> list[Symbol]:
 
 
 def _comment_above(text: str, start: int, mark: str) -> str:
-    """Lines of comment right above the line of ``start``."""
+    """The comments in front of ``start`` with nothing but white space between: lines that begin with ``mark``, and blocks where that is //."""
     out: list[str] = []
-    end = text.rfind("\n", 0, start)
-    while end >= 0:
+    end = start
+    while True:
+        while end and text[end - 1].isspace():
+            end -= 1
         at = text.rfind("\n", 0, end) + 1
-        line = text[at:end].strip()
-        if not line.startswith(mark):
+        if mark == "//" and text.endswith("*/", 0, end):
+            at = max(text.rfind("/*", 0, end - 1), 0)
+            first = text.rfind("\n", 0, at) + 1
+        else:
+            first = at
+            at += len(text[at:end]) - len(text[at:end].lstrip())
+            if not text.startswith(mark, at, end):
+                break
+        if text[first:at].strip():  # behind something else in its line
             break
-        out.append(line)
-        end = at - 1
+        out.append(text[at:end])
+        end = at
     return "\n".join(reversed(out))
 
 
@@ -191,6 +200,8 @@ def _braces(text: str, language: str) -> list[Symbol]:
                 head_at = at + 1 if clean[head_at:at].count("(") == clean[head_at:at].count(")") else head_at
             continue
         head = clean[head_at:at]
+        if language == "cpp" and (label := re.match(r"\s*(?:(?:public|private|protected)\s*:(?!:)\s*)+", head)):
+            head_at, head = head_at + label.end(), head[label.end() :]
         start = head_at + len(head) - len(head.lstrip())
         parent = out[parents[-1]] if parents[-1] >= 0 else None
         if c == "{":

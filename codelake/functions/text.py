@@ -64,11 +64,15 @@ def offset_windows(text: Column, offsets: Column, width: int) -> Column:
     ``offsets``: array of (start, end) in characters. A text without tokens, or with blank windows only, is one window; a
     blank text without tokens is none.
     """
-    n = F.size(offsets)
-    cut = lambda i: F.substring(text, F.get(offsets, i)["start"] + 1, F.get(offsets, F.least(i + width, n) - 1)["end"] - F.get(offsets, i)["start"])
-    found = F.filter(F.transform(window_starts(n, width), cut), lambda w: F.length(F.regexp_replace(w, r"\s", "")) > 0)
-    blank = F.length(F.regexp_replace(text, r"\s", "")) == 0
-    return F.when(F.size(found) > 0, found).when((n == 0) & blank, F.array().cast("array<string>")).otherwise(F.array(text))
+    filled = lambda x: F.length(F.regexp_replace(x, r"\s", "")) > 0
+
+    def cut(o: Column, i: Column) -> Column:
+        first, last = F.get(o, i), F.get(o, F.least(i + width, F.size(o)) - 1)
+        return F.substring(text, first["start"] + 1, last["end"] - first["start"])
+
+    # offsets, and then windows, are bound once
+    windows = F.transform(F.array(offsets), lambda o: F.filter(F.transform(window_starts(F.size(o), width), lambda i: cut(o, i)), filled))[0]
+    return F.transform(F.array(windows), lambda w: F.when(F.size(w) > 0, w).when((F.size(offsets) == 0) & ~filled(text), F.array().cast("array<string>")).otherwise(F.array(text)))[0]
 
 
 def lines(text: Column) -> Column:

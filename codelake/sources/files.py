@@ -38,6 +38,11 @@ def listing(spark: SparkSession, root: str, include: Sequence[str] = (), exclude
         rows = rows.where(P.matches_any(path, into)) if into else rows
     rows = rows.withColumn("language", P.language(path, custom)).where("language is not null")
     rows = rows.withColumn("file_class", P.file_class(F.col("language"), custom))
+    return sized(rows)
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """Files up to MAX_BYTES, and all code."""
     return rows.where((F.col("size") <= P.MAX_BYTES) | (F.col("file_class") == "code"))
 
 
@@ -57,6 +62,11 @@ def contents(listed: DataFrame, root: str, slices: int | None = None) -> DataFra
             yield frame.assign(content=found)
 
     rows = (listed.repartition(slices, "path") if slices else listed.repartition("path")).mapInPandas(run, schema)
+    return without_binary(rows)
+
+
+def without_binary(rows: DataFrame) -> DataFrame:
+    """Less those with a NUL in their first BINARY_HEAD bytes; empty and unreadable ones stay."""
     head = F.decode(F.substring("content", 1, P.BINARY_HEAD), "ISO-8859-1")
     return rows.where(F.col("content").isNull() | (F.instr(head, "\u0000") == 0))
 
