@@ -10,12 +10,12 @@ NAVIGABLE = (1, 2, 3, 4, 5, 6, 7, 8, 10, 16, 18, 20, 21, 27, 28, 37)
 MERGE_GAP, GROUP_LINES, LOOKUP_LIMIT = 5, 200, 200
 
 
-def lookup(symbols: DataFrame, name: str, exact: bool = True, limit: int = LOOKUP_LIMIT) -> DataFrame:
-    """Symbols of that name, whatever the case; with ``exact`` off those that hold it as well, after the exact ones."""
+def lookup(symbols: DataFrame, name: str, exact: bool = True, limit: int = LOOKUP_LIMIT, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """Symbols of that name, whatever the case; with ``exact`` off those that hold it as well, after the exact ones. ``order`` says which the limit keeps."""
     low, key = name.lower(), F.lower("name")
     same = key == low
     rows = symbols.where(same if exact else same | F.contains(key, F.lit(low)))
-    return rows.withColumn("is_exact", same).orderBy(F.desc("is_exact"), "seq").limit(limit)
+    return rows.withColumn("is_exact", same).orderBy(F.desc("is_exact"), *order).limit(limit)
 
 
 def declarations(symbols: DataFrame) -> DataFrame:

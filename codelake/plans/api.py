@@ -190,7 +190,7 @@ class Catalog:
             outer = S.external_symbols(e["code_items"], e["files"], e["code_item_kinds"], symbol)
             outer = outer.withColumn("at", F.row_number().over(W.orderBy("file", "start_line", "id")))  # at most 50 rows
             outer = P.with_stored_case(outer, i.table("files"), i.repo).select(F.lit(i.prefix).alias("index_name"), "name", "kind", "file", F.col("start_line").cast("int"), F.col("end_line").cast("int"), P.reference_language(F.col("file")).alias("language"), "at")
-            own = S.lookup(i.table("symbols"), symbol, exact_match)
+            own = S.lookup(i.table("symbols"), symbol, exact_match, order=("file_path", "seq"))
             own = own.withColumn("at", F.row_number().over(W.orderBy(F.desc("is_exact"), "file_path", "seq")))  # at most 200 rows
             own = own.select("index_name", "name", "kind", F.col("file_path").alias("file"), "start_line", "end_line", "language", "at")
             out.append(S.tiered(outer, own).withColumn("at", F.struct(F.lit(n).alias("index"), F.col("at"))))
