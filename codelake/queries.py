@@ -76,7 +76,9 @@ def vector_of(vectors: DataFrame, vec_id: int) -> list[float]:
 def keyword_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     tokens = counted(spark, sf_dir, "documents", "doc_id", "text")
     lengths = bm25.doc_lengths(tokens)
-    return bm25.top(bm25.scores(bm25.postings(tokens), lengths, bm25.query_tokens(spark, WORDS_QUERY)), lengths, k)
+    hits = bm25.scores(bm25.postings(tokens), lengths, bm25.query_tokens(spark, WORDS_QUERY)).persist()
+    _COUNTED[spark.sparkContext.applicationId, sf_dir, "hits"] = hits
+    return bm25.top(hits, lengths, k)
 
 
 _COUNTED: dict[tuple, DataFrame] = {}
