@@ -71,7 +71,7 @@ class WordEncoder:
         self.marks = [t["content"] for t in config["added_tokens"]]
         self.pieces: dict[str, list[int]] = {}
         self.split = regex.compile(PIECE).findall
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         names = self.library.get_vocab(with_added_tokens=True)
         self.names = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
@@ -82,7 +82,7 @@ class WordEncoder:
         if ids is None:
             if len(self.pieces) >= CACHE:
                 self.pieces.clear()
-            shown = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             ids = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)]
         return ids
 

@@ -1,31 +1,37 @@
 """Token ids in training order, as binary blocks of fixed stride.
 
 Every document becomes sequences of ``length`` 16-bit ids, an end mark after its last token, filled up with zeros. The
-sequences have an index: the order in which they were encoded, which a written table fixes. A keyed Feistel network on the
-next power of four, walked until it falls below the number of sequences, sends the index to a slot; it is a bijection, so
-every slot is filled once and can be traced back. Slots are dealt to fixed ranges of ``block`` slots; a range becomes one
-row whose payload holds its sequences in slot order at a fixed stride, so slot s lies in block s div ``block`` at byte
-(s mod ``block``) * 2 * length, and a reader resumes by slot number alone.
+sequences have an index: documents stand by (hash bucket of id and text, id, text), whatever files or tasks they come from,
+so that a rerun on another cluster gives the same order. A keyed Feistel network on the next power of four, walked until it
+falls below the number of sequences, sends the index to a slot; it is a bijection, so every slot is filled once and can be
+traced back. Slots are dealt to partitions by range; each sorts its own and writes blocks of ``block`` slots, one row each,
+whose payload holds the sequences in slot order at a fixed stride: slot s lies in block s div ``block`` at byte
+(s mod ``block``) * 2 * length. write_shards() keeps them as files, sequences_from() reads on from any slot.
 
 Defined cases: null or empty text: one sequence with the end mark only. Long texts take as many sequences as they need.
-Null ids are carried as null. Repeated rows are encoded each by itself. An empty table gives an empty result; other columns
-are ignored. The driver holds one number for each partition of the written table.
+Null ids are carried as null, and stand first in their bucket. Repeated rows are encoded each by itself; which of two equal
+rows comes first makes no difference. An empty table gives an empty result; other columns are ignored. The driver holds one
+number for each of the BUCKETS.
 """
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import WordEncoder, tokenizer_path
+from .bpe import PLAIN, WordEncoder, tokenizer_path
 from .common import CACHE, id_and_text, materialize, mix
 
 LENGTH, BLOCK, SHARD_BLOCKS = 256, 1024, 64
-END = 49407
+#: Hash buckets of documents, and partitions that slots are dealt to, at most.
+BUCKETS, MOST_PARTS = 1 << 17, 20_000
+END = "<|endoftext|>"
 
 
 class Feistel:
@@ -59,11 +65,11 @@ class Feistel:
 
 
 class IdBytes(dict):
-    """word -> its ids as 16-bit little-endian bytes; the words of the generation before stay at hand."""
+    """word -> its ids as 16-bit little-endian bytes; the words of the generation before stay at hand. Words of ASCII letters, with stops or without, share the ids of their lower-cased letters."""
 
     def __init__(self, encoder: WordEncoder):
         super().__init__()
-        self.encoder, self.old = encoder, {}
+        self.encoder, self.old, self.stems, self.others = encoder, {}, {}, {}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE:
@@ -71,66 +77,137 @@ class IdBytes(dict):
             self.clear()
         value = self.old.get(word)
         if value is None:
-            value = np.array(self.encoder.word(word), "<u2").tobytes()
+            body = word.rstrip(b".,")
+            if body.isalpha():
+                low = body.lower()
+                value = self.stems.get(low) or self.stem(low)
+                if len(body) < len(word):
+                    value += self.stem(word[len(body) :])
+            else:
+                text = word.decode("utf-8", "replace").lower()
+                body = text.rstrip(".,")
+                value = self.others.get(body)
+                if value is None:
+                    value = packed(self.encoder.word(word))
+                    if len(body) == len(text) and body.isalpha() and PLAIN.fullmatch(body):
+                        if len(self.others) >= CACHE // 4:
+                            self.others.clear()
+                        self.others[body] = value
+                elif len(body) < len(text):
+                    value += self.stem(text[len(body) :].encode())
         self[word] = value
         return value
 
+    def stem(self, piece: bytes) -> bytes:
+        value = self.stems.get(piece)
+        if value is None:
+            if len(self.stems) >= CACHE:
+                self.stems.clear()
+            value = self.stems[piece] = packed([t.id for t in self.encoder.model.tokenize(piece.decode())])
+        return value
+
+
+def packed(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def end_mark(encoder: WordEncoder) -> int:
+    """The id of END, or the vocabulary's last one where it has none."""
+    return encoder.names.index(END.encode()) if END.encode() in encoder.names else len(encoder.names) - 1
+
 
 def sequences(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
-    """part, first, n, doc_ids, payload: packs of sequences in the order of encoding; payload is n * length ids, compressed."""
+    """buckets, places (in the bucket), doc_ids: of each sequence; payload: their ids, compressed. A row holds those of some documents."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        words, pack, end = IdBytes(WordEncoder(path)), zstandard.ZstdCompressor(1), END.to_bytes(2, "little")
+        words, pack = IdBytes(WordEncoder(path)), zstandard.ZstdCompressor(1)
         if len(words.encoder.names) > 1 << 16:
             raise ValueError(f"{path}: ids don't fit 16 bits")
-        part, first = TaskContext.get().partitionId(), 0
+        end, last, place = end_mark(words.encoder).to_bytes(2, "little"), -1, 0
+        ids_of = words.__getitem__
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 some = batch.slice(start, 256)
-                texts = some.column(1).cast(pa.binary())
-                rows, owners = [], []
-                for i in range(len(texts)):
-                    data = b"".join([words[w] for w in (texts[i].as_py() or b"").split()]) + end
+                ids, texts, buckets = some.column(0).to_pylist(), some.column(1).cast(pa.binary()), some.column(2).to_pylist()
+                rows, owners, of, places = [], [], [], []
+                for i, bucket in enumerate(buckets):
+                    data = b"".join(map(ids_of, (texts[i].as_py() or b"").split())) + end
                     n = -(-len(data) // (2 * length))
                     rows.append(data.ljust(2 * length * n, b"\0"))
-                    owners += [some.column(0)[i].as_py()] * n
-                columns = [pa.array([part]), pa.array([first]), pa.array([len(owners)]), pa.array([owners], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(rows))], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "first", "n", "doc_ids", "payload"])
-                first += len(owners)
+                    last, place = bucket, place if bucket == last else 0  # a bucket's documents come together
+                    owners += [ids[i]] * n
+                    of += [bucket] * n
+                    places += range(place, place + n)
+                    place += n
+                columns = [pa.array([of], pa.list_(pa.int32())), pa.array([places], pa.list_(pa.int64())), pa.array([owners], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(rows))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["buckets", "places", "doc_ids", "payload"])
 
-    return id_and_text(docs).mapInArrow(run, "part long, first long, n long, doc_ids array<long>, payload binary")
+    rows = id_and_text(docs).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(BUCKETS)).cast("int"))
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "text")
+    return rows.mapInArrow(run, "buckets array<int>, places array<long>, doc_ids array<long>, payload binary")
 
 
 def training_order(docs: DataFrame, key: int = 11, length: int = LENGTH, block: int = BLOCK, path: str | None = None) -> DataFrame:
     """shard, block, first_slot, n_sequences, stride (bytes), doc_ids (by slot), payload: the sequences of each range of slots, uncompressed, in slot order."""
     packs = materialize(sequences(docs, length, path), "sequences")
-    counts = sorted((r.part, r.n) for r in packs.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    starts, total = {}, 0
-    for part, n in counts:
-        starts[part], total = total, total + n
+    starts = np.zeros(BUCKETS + 1, np.int64)
+    for r in packs.select(F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("n")).toLocalIterator():
+        starts[r.b + 1] = r.n
+    starts = np.cumsum(starts)
+    total = int(starts[-1])
+    shards = -(-total // (block * SHARD_BLOCKS))
+    parts = max(1, min(shards, MOST_PARTS))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, unpack = Feistel(max(total, 1), key), zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
-                part, first, n = (batch.column(c)[i].as_py() for c in range(3))
-                slots = order.slots(starts[part] + first + np.arange(n, dtype=np.uint64))
-                data = unpack.decompress(batch.column(4)[i].as_py(), max_output_size=2 * length * n)
-                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), n, [None, pa.py_buffer(data)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(slots // block), pa.array(slots), batch.column(3)[i].values, rows], ["block", "slot", "doc_id", "ids"])
+                of, places, owners = (batch.column(c)[i].values for c in range(3))
+                slots = order.slots((starts[of.to_numpy()] + places.to_numpy()).astype(np.uint64))
+                data = unpack.decompress(batch.column(3)[i].as_py(), max_output_size=2 * length * len(slots))
+                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), len(slots), [None, pa.py_buffer(data)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(slots), owners, rows], ["slot", "doc_id", "ids"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, owners, payload = -1, [], []
+
+        def made() -> pa.RecordBatch:
+            columns = [pa.array([at]), pa.array([owners], pa.list_(pa.int64())), pa.array([len(owners)]), pa.array([b"".join(payload)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "n_sequences", "payload"])
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                rows = batch.column(1)[i].values
-                payload = b"".join(rows.field("ids").to_pylist())
-                columns = [pa.array([batch.column(0)[i].as_py()]), pa.array([[*rows.field("doc_id").to_pylist()]], pa.list_(pa.int64())), pa.array([len(rows)]), pa.array([payload], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "n_sequences", "payload"])
-
-    rows = packs.mapInArrow(spread, "block long, slot long, doc_id long, ids binary")
-    ranges = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("slot", "doc_id", "ids"))).alias("rows"))
-    out = ranges.mapInArrow(gather, "block long, doc_ids array<long>, n_sequences long, payload binary")
+            blocks = batch.column(0).to_numpy() // block
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)] if len(blocks) else [0]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if blocks[lo] != at:
+                    if at >= 0:
+                        yield made()
+                    at, owners, payload = int(blocks[lo]), [], []
+                owners += batch.column(1).slice(lo, hi - lo).to_pylist()
+                payload += batch.column(2).slice(lo, hi - lo).to_pylist()
+        if at >= 0:
+            yield made()
+
+    rows = packs.mapInArrow(spread, "slot long, doc_id long, ids binary")
+    part = F.expr(f"cast((slot div {block * SHARD_BLOCKS}) * {parts} div {max(shards, 1)} as int)")
+    out = rows.repartitionById(parts, part).sortWithinPartitions("slot").mapInArrow(gather, "block long, doc_ids array<long>, n_sequences long, payload binary")
     return out.select(F.expr(f"block div {SHARD_BLOCKS}").alias("shard"), "block", (F.col("block") * block).alias("first_slot"), "n_sequences", F.lit(2 * length).alias("stride"), "doc_ids", "payload")
+
+
+def write_shards(docs: DataFrame, folder: str, **how) -> None:
+    """The blocks as Parquet files: each file holds one range of slots, in order."""
+    training_order(docs, **how).write.option("compression", "zstd").parquet(folder)
+
+
+def sequences_from(spark: SparkSession, folder: str, slot: int, n: int | None = None) -> DataFrame:
+    """slot, doc_id, ids of written shards from ``slot`` on, ``n`` of them or all: a reader resumes by slot number; files and row groups before it are skipped."""
+    rows = spark.read.parquet(folder).where((F.col("first_slot") + F.col("n_sequences") > slot) & (F.lit(True) if n is None else F.col("first_slot") < slot + n))
+    first = spark.read.parquet(folder).agg(F.max("n_sequences")).first()[0]  # all blocks but the last have this many
+    rows = rows.where(F.col("block") >= slot // first) if first else rows
+    out = rows.select("first_slot", "stride", "payload", F.posexplode("doc_ids").alias("at", "doc_id"))
+    out = out.select((F.col("first_slot") + F.col("at")).alias("slot"), "doc_id", F.substr("payload", F.col("at") * F.col("stride") + 1, F.col("stride")).alias("ids"))
+    return out.where((F.col("slot") >= slot) & (F.lit(True) if n is None else F.col("slot") < slot + n))

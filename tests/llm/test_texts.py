@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from codelake.llm import langid, licenses, quality, secrets
 from codelake.llm.bpe import ChunkEncoder, encoded, tokenizer_path
-from codelake.llm.tokens import Feistel, training_order
+from codelake.llm.tokens import Feistel, sequences_from, training_order, write_shards
 
 KEY = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"
 
@@ -152,6 +152,17 @@ def test_training_order(odd, none):
     assert texts == Counter((r.doc_id, r.ids) for r in encoded(odd).collect())
 
 
+def test_order_is_the_same_for_any_partitioning(odd, spark, tmp_path):
+    one = {r.block: (r.payload, r.doc_ids) for r in training_order(odd.repartition(1), length=16, block=8).collect()}
+    assert one == {r.block: (r.payload, r.doc_ids) for r in training_order(odd.repartition(7), length=16, block=8).collect()}
+    write_shards(odd, str(tmp_path / "shards"), length=16, block=8)
+    payload, owners = b"".join(one[b][0] for b in sorted(one)), [d for b in sorted(one) for d in one[b][1]]
+    rows = sorted(sequences_from(spark, str(tmp_path / "shards"), 13, 10).collect())
+    assert [r.slot for r in rows] == list(range(13, 23)) and [r.doc_id for r in rows] == owners[13:23]
+    assert b"".join(bytes(r.ids) for r in rows) == payload[13 * 32 : 23 * 32]
+    assert sequences_from(spark, str(tmp_path / "shards"), 0).count() == len(owners)
+
+
 def test_quality_statistics(odd, none, spark):
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int")
     rows = quality.quality_report(odd, labels).collect()
