@@ -15,7 +15,7 @@ too few shingles with the whole other block.
 Defined cases: no words or null text: an empty set, linked with nothing, kept. Fewer words than the shingle width: the
 whole sequence is the one shingle. A null id: never linked, component null, kept. Rows that repeat an id are judged by
 their own texts. An empty table gives an empty result. Other columns of the input are ignored. Very long texts: the circle
-has 2**24 places; a set that comes near that many shingles shares coordinates with others by chance, which costs
+has 2**23 places; a set that comes near that many shingles shares coordinates with others by chance, which costs
 comparisons and changes no result, as links are confirmed on full sets.
 """
 
@@ -42,14 +42,15 @@ ROWS_A_PART, LEAST_PARTS = 100_000, 12
 class Circulant:
     """Signatures of ``bands * rows`` coordinates."""
 
-    def __init__(self, bands: int = 32, rows: int = 4, circle_bits: int = 24, seed: int = 7):
+    def __init__(self, bands: int = 32, rows: int = 4, circle_bits: int = 23, seed: int = 7):
         self.bands, self.rows, self.bits, self.seed = bands, rows, circle_bits, seed
-        k, full = bands * rows, np.uint64((1 << circle_bits) - 1)
-        numbers = np.arange(1 << circle_bits, dtype=np.uint64)
-        for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):  # each step is a bijection of circle_bits bits
-            numbers = (numbers * np.uint64(odd) + np.uint64(seed)) & full
-            numbers ^= numbers >> np.uint64(circle_bits // 2)
-        numbers = numbers.astype(np.uint32)
+        k, full = bands * rows, np.uint32((1 << circle_bits) - 1)
+        numbers = np.arange(1 << circle_bits, dtype=np.uint32)
+        for odd in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D):  # each step is a bijection of circle_bits bits
+            numbers *= np.uint32(odd)
+            numbers += np.uint32(seed)
+            numbers &= full
+            numbers ^= numbers >> np.uint32(circle_bits // 2)
         self.turned = np.lib.stride_tricks.sliding_window_view(np.concatenate([numbers, numbers[: k - 1]]), k)
         self.row_mult = mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
         self.band_salt = mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
