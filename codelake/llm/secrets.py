@@ -12,9 +12,11 @@ repeated rows and ids give equal results; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -87,15 +89,18 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    base = list(found)
+    base = sorted((x, y) for x, y, _ in found)
+    starts, reach = [x for x, _ in base], list(accumulate((y for _, y in base), max))
+    dense: set[tuple[int, int]] = set()
     for pattern, width, bits in CLASSES.values():
         for m in pattern.finditer(text):
             for start, end in judged(m[0]):
                 for a, b in dense_windows(m[0][start:end], width, bits) if end - start >= width else ():
                     a, b = a + m.start() + start, b + m.start() + start
-                    if not any(x <= a and b <= y for x, y, _ in base) and (a, b, "entropy") not in found:
-                        found.append((a, b, "entropy"))
-    return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+                    k = bisect.bisect_right(starts, a)
+                    if not k or reach[k - 1] < b:  # no base span holds it
+                        dense.add((a, b))
+    return sorted(found + [(a, b, "entropy") for a, b in dense], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 def redact(text: str | None, mark: str = "[SECRET]") -> str | None:

@@ -40,6 +40,56 @@ def test_secrets_beside_harmless_words():
     assert sum(b - a for a, b, k in secrets.find_secrets(blob) if k == "entropy") >= 0.9 * len(blob)
 
 
+def by_hand(text):
+    """All spans, found without indexes, filters or running counts."""
+    t = text or ""
+    base = [(m.start(), m.end(), "assign") for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+    base += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    found = set()
+    for pattern, bits in (("[0-9a-fA-F]{20,}", 3.0), ("[A-Za-z0-9+/=_-]{20,}", 3.7)):
+        for m in re.finditer(pattern, t):
+            run = m[0]
+            if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
+                continue
+            bad = {i for p in ("example", "sample", "placeholder", "dummy", "changeme", "test", "xxxx", "0000", "1234", "[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}") for k in range(len(run)) for h in [re.compile(p, re.I).match(run, k)] if h for i in range(h.start(), h.end())}
+            covered = set()
+            for i in range(len(run) - 19):
+                counts = Counter(run[i : i + 20]).values()
+                if not bad & set(range(i, i + 20)) and -sum(c / 20 * np.log2(c / 20) for c in counts) >= bits - 1e-9:
+                    covered.add(i)
+            ends = sorted(covered)
+            while ends:
+                a = b = ends.pop(0)
+                while ends and ends[0] <= b + 20:
+                    b = ends.pop(0)
+                found.add((m.start() + a, m.start() + b + 20))
+    spans = base + [(a, b, "entropy") for a, b in found if not any(x <= a and b <= y for x, y, _ in base)]
+    order = ("assign", "access", "hex", "entropy")
+    return sorted(spans, key=lambda s: (s[0], order.index(s[2]), s[1]))
+
+
+def test_secret_report_by_hand(spark, odd):
+    """Planted secrets, some that only entropy finds, on a table; digests and counts too."""
+    rng = np.random.default_rng(9)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    key = lambda n, of=letters: "".join(rng.choice(of, n))
+    texts = [f"see {key(32)} there", f'password: "{key(9)}" and token={key(40)}', f"AKIA{key(18, list('ABCDEF123'))} {key(30, list('0123456789abcdef'))}", f"{key(25)}/test/{key(25)}", "plain words only", f"é {key(60, list('0123456789ABCDEF'))} 0000 {key(22)}"] * 3
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, r.text) for i, r in enumerate(odd.collect())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = {i: by_hand(t) for i, t in rows}
+    assert sum(k == "entropy" for s in known.values() for _, _, k in s) >= 9
+    shown = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+    for r in secrets.secret_report(docs).collect():
+        base = [s for s in known[r.doc_id] if s[2] != "entropy"]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[2] == k for s in base) for k in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(shown(base).encode()).hexdigest() and r.spans == shown(known[r.doc_id])
+
+
+def test_many_secrets_in_a_long_text():
+    text = " ".join(f"token=abcdef{i} qT7zX9cV2bN4mK8lP1oW{i}" for i in range(20_000))
+    assert len(secrets.find_secrets(text)) >= 40_000
+
+
 @settings(max_examples=50)
 @given(st.text("abc123XYZ", max_size=60))
 def test_entropy_by_counts(s):
