@@ -8,7 +8,8 @@ the whole table; a row's own vote is taken out of its host's and suffix's counts
 
 Defined cases: null or empty text, address or markup: that evidence is left out. A row without any evidence gets the corpus
 prior. Ties go to the language that sorts first. Repeated rows are rows of their own; an empty table gives an empty result;
-other columns are ignored. The driver holds the model: languages times BUCKETS numbers.
+other columns are ignored. The driver holds the model: BUCKETS numbers for each
+language of the labelled sample, so for MAX_TRAIN languages at most.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import materialize
 
 MAX_TRAIN, BUCKETS, TEMPER = 4_000, 1 << 14, 8.0
+#: Rows of one host, suffix or declaration that meet in a task.
+ROWS_A_TASK = 200_000
 #: Weight of what a level of the priors is smoothed towards, in rows.
 HOST_WEIGHT, SUFFIX_WEIGHT, MARKUP_WEIGHT = 5.0, 20.0, 5.0
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)"
@@ -89,6 +92,21 @@ def softmax(a: Column) -> Column:
     return F.transform(up, lambda x: x / F.aggregate(up, F.lit(0.0), lambda s, y: s + y))
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, row_id: Column) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row for each ``key``, with n: how many rows have it), null where there is none.
+
+    A key of over ROWS_A_TASK rows is dealt to as many tasks as it needs: its row of ``table`` is repeated, and rows go to
+    one of them by a hash. Only those keys are broadcast: one for every ROWS_A_TASK rows, at most. Rows without a key are
+    dealt out as well.
+    """
+    parts = F.ceil(F.col("n") / ROWS_A_TASK).cast("int")
+    hot = table.where(F.col("n") > ROWS_A_TASK).select(F.col(key).alias("_hot"), parts.alias("_parts"))
+    spread = table.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    rows = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    deal = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(row_id), F.lit(1 << 20))).otherwise(F.pmod(F.xxhash64(row_id), F.coalesce("_parts", F.lit(1))))
+    return rows.withColumn("_part", deal.cast("int")).join(spread, [key, "_part"], "left").drop("_hot", "_parts", "_part")
+
+
 def fuse(rows: DataFrame, langs: list[str]) -> DataFrame:
     """``rows`` (host, suffix, declared, likelihoods and others) with text_language, language and confidence."""
     n = len(langs)
@@ -96,7 +114,7 @@ def fuse(rows: DataFrame, langs: list[str]) -> DataFrame:
     first = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
     seen = F.exists("likelihoods", lambda x: x != 0)
     rows = materialize(rows.withColumn("vote", F.when(seen, softmax(F.col("likelihoods")))), "evidence")
-    total = lambda by, name: rows.where("vote is not null").groupBy(*by).agg(F.array(*(F.sum(F.col("vote")[i]) for i in range(n))).alias(name))
+    total = lambda by, name: rows.where("vote is not null").groupBy(*by).agg(F.array(*(F.sum(F.col("vote")[i]) for i in range(n))).alias(name), F.count("*").alias("n"))
     hosts = materialize(total(["host"], "of_host").where("host is not null"), "hosts")
     suffixes = materialize(total(["suffix"], "of_suffix").where("suffix is not null"), "suffixes")
     declared = materialize(total(["declared"], "of_declared").where("declared is not null"), "declared")
@@ -113,7 +131,9 @@ def fuse(rows: DataFrame, langs: list[str]) -> DataFrame:
         size = F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
         return F.zip_with(c, above, lambda x, p: (x + weight * p) / (size + weight))
 
-    rows = rows.join(suffixes, "suffix", "left").join(declared, "declared", "left").join(hosts, "host", "left")
+    row_id = F.struct(*(F.col(c) for c in ("page_id", "doc_id") if c in rows.columns), "likelihoods")
+    for table, by in ((suffixes, "suffix"), (declared, "declared"), (hosts, "host")):
+        rows = looked_up(rows, table, by, row_id)
     rows = rows.withColumn("prior", level("of_suffix", base, SUFFIX_WEIGHT)).withColumn("prior", level("of_host", F.col("prior"), HOST_WEIGHT))
     # P(declaration | language) up to a factor that all languages share: P(language | declaration) / P(language)
     rows = rows.withColumn("markup", F.when(F.col("of_declared").isNotNull(), F.zip_with(level("of_declared", base, MARKUP_WEIGHT), base, lambda x, p: x / p)).otherwise(F.array_repeat(F.lit(1.0), n)))

@@ -40,6 +40,35 @@ def test_secrets_beside_harmless_words():
     assert sum(b - a for a, b, k in secrets.find_secrets(blob) if k == "entropy") >= 0.9 * len(blob)
 
 
+def test_fusion_by_hand(spark, monkeypatch):
+    """Every row's posterior from the definitions; hot hosts, suffixes and declarations in several parts; nulls; rows without evidence."""
+    monkeypatch.setattr(langid, "ROWS_A_TASK", 7)
+    rng, langs = np.random.default_rng(2), ["de", "en", "fr"]
+    pick = lambda *of: of[int(rng.integers(len(of)))]
+    rows = [(i, pick("a.de", "a.de", "a.de", "b.fr", "c.com", None), None, pick("de", "en", None), [0.0] * 3 if i % 9 == 0 else [float(x) for x in rng.normal(0, 2, 3)], "clash") for i in range(80)]
+    rows = [(i, h, h and h[-2:], d, v, c) for i, h, _, d, v, c in rows]
+    table = spark.createDataFrame(rows, "page_id long, host string, suffix string, declared string, likelihoods array<double>, n string").drop("n")
+    soft = lambda v: np.exp(np.array(v) - max(v)) / np.exp(np.array(v) - max(v)).sum()
+    votes = [soft(r[4]) if any(r[4]) else None for r in rows]
+    total = lambda at, value: sum((v for r, v in zip(rows, votes) if v is not None and r[at] == value), np.zeros(3))
+    whole = sum(v for v in votes if v is not None)
+    base = (whole + 1) / (whole.sum() + 3)
+
+    def level(at, r, v, above, weight):
+        own = np.zeros(3) if v is None else v
+        counts = np.zeros(3) if r[at] is None else np.maximum(total(at, r[at]) - own, 0)
+        return (counts + weight * above) / (counts.sum() + weight)
+
+    got = {r.page_id: r for r in langid.fuse(table, langs).collect()}
+    assert len(got) == len(rows)
+    for r, v in zip(rows, votes):
+        prior = level(1, r, v, level(2, r, v, base, langid.SUFFIX_WEIGHT), langid.HOST_WEIGHT)
+        markup = level(3, r, v, base, langid.MARKUP_WEIGHT) / base if r[3] and total(3, r[3]).any() else np.ones(3)
+        after = soft(np.log(prior) + np.log(markup) + np.array(r[4]))
+        assert got[r[0]].language == langs[int(np.argmax(after))] and abs(got[r[0]].confidence - after.max()) < 1e-9
+        assert got[r[0]].text_language == (None if v is None else langs[int(np.argmax(v))])
+
+
 def by_hand(text):
     """All spans, found without indexes, filters or running counts."""
     t = text or ""
