@@ -46,7 +46,11 @@ def trigrams(text: bytes) -> np.ndarray:
 
 def train(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log-probabilities of buckets, from rows (doc_id, text, lang)."""
-    rows = labelled.where("lang is not null and text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    keyed = labelled.where("lang is not null and text is not null").withColumn("digest", F.xxhash64("text"))
+    some = keyed.select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), F.col("digest").alias("d"))  # without texts: they would all meet in one task
+    some = some.orderBy(F.xxhash64("i"), "i", "d", "l").limit(max_train).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l")) & (F.col("digest") == F.col("d"))
+    rows = keyed.join(F.broadcast(some), same, "left_semi").dropDuplicates(["doc_id", "lang", "digest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
