@@ -22,16 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import PLAIN, WordEncoder, tokenizer_path
+from .bpe import WordEncoder, tokenizer_path
 from .common import CACHE, id_and_text, materialize, mix
 
 LENGTH, BLOCK, SHARD_BLOCKS = 256, 1024, 64
 #: Hash buckets of documents, and partitions that slots are dealt to, at most.
 BUCKETS, MOST_PARTS = 1 << 17, 20_000
 END = "<|endoftext|>"
+#: Bytes of text whose distinct words are looked up at once.
+SLICE = 1 << 24
+#: Letters with one lower case each and no composition: ASCII and the accented ones up to U+00FF.
+LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isalpha() and c not in "ªºµ")
 
 
 class Feistel:
@@ -64,48 +69,73 @@ class Feistel:
         return self._walk(slots, self.keys[::-1], True)
 
 
-class IdBytes(dict):
-    """word -> its ids as 16-bit little-endian bytes; the words of the generation before stay at hand. Words of ASCII letters, with stops or without, share the ids of their lower-cased letters."""
+class IdBytes:
+    """Texts to their ids as 16-bit little-endian bytes: Arrow splits them and finds the distinct words and stems, each is looked up once for some texts, and Arrow puts the ids in the words' places.
+
+    A word of LETTERS, with stops after them or without, has the ids of its lower-cased letters, then those of the stops;
+    others are encoded as they are. Found ids are kept while the bounded caches hold them.
+    """
 
     def __init__(self, encoder: WordEncoder):
-        super().__init__()
-        self.encoder, self.old, self.stems, self.others = encoder, {}, {}, {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.old = dict(self)
-            self.clear()
-        value = self.old.get(word)
-        if value is None:
-            body = word.rstrip(b".,")
-            if body.isalpha():
-                low = body.lower()
-                value = self.stems.get(low) or self.stem(low)
-                if len(body) < len(word):
-                    value += self.stem(word[len(body) :])
-            else:
-                text = word.decode("utf-8", "replace").lower()
-                body = text.rstrip(".,")
-                value = self.others.get(body)
-                if value is None:
-                    value = packed(self.encoder.word(word))
-                    if len(body) == len(text) and body.isalpha() and PLAIN.fullmatch(body):
-                        if len(self.others) >= CACHE // 4:
-                            self.others.clear()
-                        self.others[body] = value
-                elif len(body) < len(text):
-                    value += self.stem(text[len(body) :].encode())
-        self[word] = value
-        return value
+        self.encoder = encoder
+        self.stems, self.others = {}, {}
+
+    def shown(self, piece: bytes) -> str:
+        return piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.encoder.letters)
 
     def stem(self, piece: bytes) -> bytes:
         value = self.stems.get(piece)
         if value is None:
             if len(self.stems) >= CACHE:
                 self.stems.clear()
-            value = self.stems[piece] = packed([t.id for t in self.encoder.model.tokenize(piece.decode())])
+            value = self.stems[piece] = packed([t.id for t in self.encoder.model.tokenize(self.shown(piece))])
         return value
 
+    def other(self, word: bytes) -> bytes:
+        value = self.others.get(word)
+        if value is None:
+            if len(self.others) >= CACHE // 4:
+                self.others.clear()
+            value = self.others[word] = packed(self.encoder.word(word)) if word else b""
+        return value
+
+    def stems_of(self, words: pa.Array) -> pa.Array:
+        """Ids of equal stems, looked up once."""
+        d = words.dictionary_encode()
+        return pa.array(list(map(self.stem, plain(d.dictionary))), pa.large_binary()).take(d.indices)
+
+    def of(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null: none."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        d = lists.flatten().dictionary_encode()
+        body = pc.ascii_rtrim(d.dictionary, ".,")
+        alpha = pc.match_substring_regex(body, f"^[{LETTERS}]+$")
+        words, rest = d.dictionary.filter(alpha), d.dictionary.filter(pc.invert(alpha))
+        stops = self.stems_of(pc.utf8_ltrim(words, LETTERS))
+        known = pc.binary_join_element_wise(self.stems_of(pc.utf8_lower(body.filter(alpha))), stops, pa.scalar(b"", pa.large_binary()))
+        values = pa.concat_arrays([known, pa.array(list(map(self.other, plain(rest))), pa.large_binary())])
+        mask = alpha.to_numpy(zero_copy_only=False)
+        place = np.where(mask, np.cumsum(mask) - 1, len(words) + np.cumsum(~mask) - 1)
+        ids = values.take(pa.array(place[d.indices.to_numpy()]))
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        cuts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def plain(strings: pa.Array) -> list[bytes]:
+    return strings.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
+def slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about ``size`` bytes of text, one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
 
 def packed(ids: list[int]) -> bytes:
     out = array("H", ids)
@@ -128,23 +158,24 @@ def sequences(docs: DataFrame, length: int = LENGTH, path: str | None = None) ->
         if len(words.encoder.names) > 1 << 16:
             raise ValueError(f"{path}: ids don't fit 16 bits")
         end, last, place = end_mark(words.encoder).to_bytes(2, "little"), -1, 0
-        ids_of = words.__getitem__
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                some = batch.slice(start, 256)
-                ids, texts, buckets = some.column(0).to_pylist(), some.column(1).cast(pa.binary()), some.column(2).to_pylist()
-                rows, owners, of, places = [], [], [], []
-                for i, bucket in enumerate(buckets):
-                    data = b"".join(map(ids_of, (texts[i].as_py() or b"").split())) + end
-                    n = -(-len(data) // (2 * length))
-                    rows.append(data.ljust(2 * length * n, b"\0"))
-                    last, place = bucket, place if bucket == last else 0  # a bucket's documents come together
-                    owners += [ids[i]] * n
-                    of += [bucket] * n
-                    places += range(place, place + n)
-                    place += n
-                columns = [pa.array([of], pa.list_(pa.int32())), pa.array([places], pa.list_(pa.int64())), pa.array([owners], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(rows))], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["buckets", "places", "doc_ids", "payload"])
+            for part in slices(batch):
+                coded = words.of(part.column(1))
+                for start in range(0, part.num_rows, 256):
+                    some = part.slice(start, 256)
+                    ids, buckets = some.column(0).to_pylist(), some.column(2).to_pylist()
+                    rows, owners, of, places = [], [], [], []
+                    for i, bucket in enumerate(buckets):
+                        data = coded[start + i] + end
+                        n = -(-len(data) // (2 * length))
+                        rows.append(data.ljust(2 * length * n, b"\0"))
+                        last, place = bucket, place if bucket == last else 0  # a bucket's documents come together
+                        owners += [ids[i]] * n
+                        of += [bucket] * n
+                        places += range(place, place + n)
+                        place += n
+                    columns = [pa.array([of], pa.list_(pa.int32())), pa.array([places], pa.list_(pa.int64())), pa.array([owners], pa.list_(pa.int64())), pa.array([pack.compress(b"".join(rows))], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["buckets", "places", "doc_ids", "payload"])
 
     rows = id_and_text(docs).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(BUCKETS)).cast("int"))
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "text")

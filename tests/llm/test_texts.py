@@ -1,19 +1,21 @@
 """Secrets, licenses, BPE, training order, quality and language against plain versions."""
 
+import functools
 import hashlib
 import math
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from codelake.llm import langid, licenses, quality, secrets
-from codelake.llm.bpe import ChunkEncoder, encoded, tokenizer_path
-from codelake.llm.tokens import Feistel, sequences_from, training_order, write_shards
+from codelake.llm.bpe import ChunkEncoder, WordEncoder, encoded, tokenizer_path
+from codelake.llm.tokens import Feistel, IdBytes, sequences_from, slices, training_order, write_shards
 
 KEY = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"
 
@@ -231,6 +233,26 @@ def test_training_order(odd, none):
     assert texts == Counter((r.doc_id, r.ids) for r in encoded(odd).collect())
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from("aBéÉßÿµªſİ日.,'s1# \t\n\x0b\x1c\x85\xa0\0") | st.characters(codec="utf-8"), max_size=60), max_size=12))
+def test_words_of_many_texts_at_once(texts):
+    coder, library = words_and_library()
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
+    for size in (1, 40, 1 << 22):
+        parts = list(slices(rows, size))
+        assert sum(p.num_rows for p in parts) == len(texts)
+        assert [np.frombuffer(x, "<u2").tolist() for p in parts for x in coder.of(p.column(1))] == want
+
+
+@functools.cache
+def words_and_library():
+    library = Tokenizer.from_file(tokenizer_path())
+    library.no_truncation()
+    library.no_padding()
+    return IdBytes(WordEncoder(tokenizer_path())), library
+
+
 def test_order_is_the_same_for_any_partitioning(odd, spark, tmp_path):
     one = {r.block: (r.payload, r.doc_ids) for r in training_order(odd.repartition(1), length=16, block=8).collect()}
     assert one == {r.block: (r.payload, r.doc_ids) for r in training_order(odd.repartition(7), length=16, block=8).collect()}
