@@ -34,7 +34,7 @@ LENGTH, BLOCK, SHARD_BLOCKS = 256, 1024, 64
 BUCKETS, MOST_PARTS = 1 << 17, 20_000
 END = "<|endoftext|>"
 #: Bytes of text whose distinct words are looked up at once.
-SLICE = 1 << 24
+SLICE = 1 << 22
 #: Letters with one lower case each and no composition: ASCII and the accented ones up to U+00FF.
 LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isalpha() and c not in "ªºµ")
 
