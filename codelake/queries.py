@@ -127,19 +127,6 @@ def bm25_idf_table(spark, sf_dir):
     return idf.where("df >= 3").select("token", "df", F.round("idf", 6).alias("idf"))
 
 
-TINY = f"with docs3 as (select item_id as doc_id, text from benchmark where item_id < 3), {TOKENS.replace('from documents', 'from docs3')}, {IDF}"
-
-
-@register(f"{TINY}, q as (select token, 1 as times from idf where df = (select max(df) from idf)) select p.doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from posts p join q using (token) join idf using (token) join dl on dl.doc_id = p.doc_id cross join stats group by p.doc_id")
-def bm25_negative_idf(spark, sf_dir):
-    """The corpus is three items, so that common tokens have a negative idf."""
-    tokens = bm25.token_counts(read(spark, sf_dir, "benchmark").where("item_id < 3"), "item_id", "text")
-    posts = bm25.postings(tokens)
-    df = posts.groupBy("token").agg(F.count("*").alias("df"))
-    common = df.join(F.broadcast(df.agg(F.max("df").alias("df"))), "df").select("token").collect()
-    return bm25.scores(posts, bm25.doc_lengths(tokens), {r.token: 1 for r in common})
-
-
 PAGES = f"with docs as (select page_id as doc_id, html as text from pages), {TOKENS.replace('from documents', 'from docs')}, {IDF}"
 
 
@@ -206,15 +193,8 @@ def knn_filtered(spark, sf_dir):
     return knn.top(vectors, vector_of(vectors, VECTOR_ID), 10, F.col("label") == 3)
 
 
-@register('select vec_id, label from embeddings where label = 3 and vec_id < 100')
-def filter_expression(spark, sf_dir):
-    where = P.parse_condition('label == "3" and nonsense')
-    return read(spark, sf_dir, "embeddings").where(where & (F.col("vec_id") < 100)).select("vec_id", "label")
-
-
 @register("select vec_id, label from embeddings where label = 3")
 def filter_expression_whole(spark, sf_dir):
-    """The same over the whole table."""
     return read(spark, sf_dir, "embeddings").where(P.parse_condition('label == "3" and nonsense')).select("vec_id", "label")
 
 
@@ -334,14 +314,6 @@ def index_stats(spark, sf_dir):
     return d.groupBy("lang", "source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"), F.count_distinct(F.md5("text")).alias("texts"))
 
 
-@register("with ext as (select 'a' as index_name, item_id as id from benchmark where item_id % 5 = 0), cat as (select 'a' as index_name, doc_id as id from documents where doc_id < 50 union all select 'b', doc_id from documents where doc_id between 50 and 90) select index_name, id from ext union all select index_name, id from cat where index_name not in (select index_name from ext)")
-def multi_index_union(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    named = lambda df, name, col: df.select(F.lit(name).alias("index_name"), F.col(col).alias("id"))
-    catalog = named(docs.where("doc_id < 50"), "a", "doc_id").unionByName(named(docs.where("doc_id between 50 and 90"), "b", "doc_id"))
-    return S.tiered(named(read(spark, sf_dir, "benchmark").where("item_id % 5 = 0"), "a", "item_id"), catalog)
-
-
 @register("with ext as (select 'src' || (item_id % 7) as index_name, item_id as id from benchmark), cat as (select source as index_name, doc_id as id from documents) select index_name, id from ext union all select index_name, id from cat where index_name not in (select index_name from ext)")
 def multi_index_union_whole(spark, sf_dir):
     """Both tables whole: an index for each source, some of which the external database has."""
