@@ -210,6 +210,21 @@ def test_bpe_table(odd, none):
     assert len(rows) == odd.count() and all(r.n_tokens == len(r.ids.split()) for r in rows) and encoded(none).collect() == []
 
 
+def test_tables_against_the_library(spark):
+    """Every row of op7's query, digests included, and op8's sequences in all, on a whole table."""
+    from codelake.llm.queries import op7_bpe, op8_training_order
+
+    sf, sha = "/root/testdata/sf0.001", lambda text: hashlib.sha256(text.encode()).hexdigest()
+    _, library = words_and_library()
+    want, n = Counter(), Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want[(r.doc_id, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))] += 1
+        n[r.doc_id] += len(ids) // 256 + 1
+    assert Counter(tuple(r) for r in op7_bpe(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == want
+    assert Counter(d for r in op8_training_order(spark, sf).select("doc_ids").collect() for d in r.doc_ids) == n
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
 def test_feistel(n):
     f = Feistel(n, 11)
