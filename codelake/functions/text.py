@@ -18,8 +18,8 @@ def split_identifier(token: Column) -> Column:
     camel = F.filter(F.split(F.lower(humps), r"\s+"), lambda x: x != "")
     parts = F.concat(snake, F.array_except(camel, snake))
     whole = F.when(F.array_contains(parts, F.lower(token)), parts).otherwise(F.concat(F.array(F.lower(token)), parts))
-    # most tokens have one part only: no underscore, and no capital after the first letter or nothing but capitals
-    return F.when(token.rlike("^(?:[A-Z]?[^A-Z_ ]*|[A-Z0-9]+)$"), F.array(F.lower(token))).otherwise(whole)
+    # most tokens have one part only: no underscore, and no capital after the first letter or capitals with digits behind them only, as a capital behind a digit begins a part
+    return F.when(token.rlike(r"^(?:[A-Z]?[^A-Z_\s]*|[A-Z]+[0-9]*)\z"), F.array(F.lower(token))).otherwise(whole)
 
 
 # What separates raw words of the keyword index.

@@ -45,7 +45,9 @@ def idf_table(posts: DataFrame, stats: DataFrame) -> DataFrame:
     """token, df, idf; a negative idf is replaced by EPSILON times the mean over the vocabulary."""
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     per = posts.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("token", "df", raw.alias("raw"))
-    floor = F.broadcast(per.agg((F.avg("raw") * EPSILON).alias("floor")))
+    # equal ones are counted first: a sum of as many terms as tokens loses digits, others in each run
+    alike = per.groupBy("raw").agg(F.count("*").alias("times"))
+    floor = F.broadcast(alike.agg((F.sum(F.col("raw") * F.col("times")) / F.sum("times") * EPSILON).alias("floor")))
     return per.crossJoin(floor).select("token", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 

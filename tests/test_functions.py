@@ -1,6 +1,8 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from codelake.functions import files as P, text as T
+from codelake.queries import tokens_sql
 
 TOKENS = {
     "handleAuthCallback": "handleauthcallback handle auth callback",
@@ -24,6 +26,13 @@ def test_tokens(spark):
     assert "Python" not in rows._jdf.queryExecution().toString()
 
 
+def test_tokens_of_capitals_and_digits(spark):
+    words = ["AKIA3XYZ9Q", "AKIACXBNCR5X", "A1B", "5X", "HTTP2", "2HTTP", "AB12", "ABC", "x5Y", "Abc9d", "A_B3C", "7F7F7F"]
+    got = spark.createDataFrame([(w,) for w in words], "t string").select("t", T.code_tokens(F.col("t")).alias("x")).collect()
+    assert {r.t: sorted(r.x) for r in got} == {w: sorted(duckdb.sql(f"select {tokens_sql(repr(w))}").fetchall()[0][0]) for w in words}
+    assert {r.t: r.x for r in got}["AKIA3XYZ9Q"] == ["akia3xyz9q", "akia3", "xyz9"]
+
+
 def test_windows(spark):
     for n, w in ((0, 5), (1, 5), (5, 5), (6, 5), (512, 512), (513, 512), (1000, 64)):
         text = " ".join(map(str, range(n)))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
@@ -34,6 +35,16 @@ def test_bm25_counts_and_top(spark):
     assert ids(hits((1, 0.5), (4, 0.7)), 3) == [4, 1] and ids(hits((1, -0.5), (4, 0.7)), 3) == [4] and ids(hits((1, -0.5), (4, 0.7)), 9) == [4, 1]
 
 
+def test_mean_idf_keeps_its_digits(spark):
+    n, words = 100, 300_000
+    rare = spark.range(words).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("token"), (F.col("id") % n).alias("doc_id"), F.lit(1).alias("tf"))
+    posts = rare.unionByName(spark.range(n).select(F.lit("all").alias("token"), F.col("id").alias("doc_id"), F.lit(1).alias("tf")))
+    stats = spark.createDataFrame([(n, 1.0)], "n long, avgdl double")
+    raw = lambda df: math.log(n - df + 0.5) - math.log(df + 0.5)
+    floor = bm25.idf_table(posts, stats).where("token = 'all'").first().idf
+    assert math.isclose(floor, 0.25 * math.fsum([*[raw(1)] * words, raw(n)]) / (words + 1), rel_tol=1e-15)
+
+
 def test_knn(spark):
     vectors = spark.createDataFrame([(0, [1.0, 0.01, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in knn.top(vectors, [1.0, 0.0, 0.0], 3).collect()] == [0, 1, 2]
