@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -22,20 +24,39 @@ class Embedder(Protocol):
     def query(self, text: str) -> np.ndarray: ...
 
 
+#: Words whose signs a worker keeps.
+KNOWN_WORDS = 1 << 16
+
+
 class HashingEmbedder:
-    """Signed counts of words and their parts in ``dim`` cells, scaled to unit length; needs no model files."""
+    """Words and their parts, each with signs of its own in all ``dim`` cells and weighed by 1 + log(count), scaled to unit length; needs no model files.
+
+    With one cell a word, a word shares its cell and sign with every 512th other, and those of a large index push out the
+    text that holds the word itself; over all cells, other words come near it by chance only, by about dim ** -0.5.
+    """
 
     def __init__(self, dim: int = 256):
-        self.name, self.dim = f"hashing-{dim}", dim
+        self.name, self.dim, self._known = f"hashing-{dim}", dim, {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_known": {}}
+
+    def _signs(self, word: str) -> np.ndarray:
+        """1 or -1 for each cell, by the bits of the word's hashes; kept for the next texts."""
+        if word not in self._known:
+            if len(self._known) >= KNOWN_WORDS:
+                self._known.clear()
+            bits = b"".join(xxhash.xxh3_64_digest(word.encode(), seed=i) for i in range(-(-self.dim // 64)))
+            self._known[word] = np.unpackbits(np.frombuffer(bits, np.uint8))[: self.dim].astype(np.int8) * 2 - 1
+        return self._known[word]
 
     def passages(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
+        out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts):
-            for word in re.findall(r"[A-Za-z][a-z0-9]*|[0-9]+|[^\x00-\x7f]+", text or ""):
-                h = xxhash.xxh3_64_intdigest(word.lower())
-                row[h % self.dim] += 1 - 2 * (h >> 63)
+            for word, n in Counter(w.lower() for w in re.findall(r"[A-Za-z][a-z0-9]*|[0-9]+|[^\x00-\x7f]+", text or "")).items():
+                row += (1 + math.log(n)) * self._signs(word)
         size = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(size == 0, 1, size)
+        return (out / np.where(size == 0, 1, size)).astype(np.float32)
 
     def query(self, text: str) -> np.ndarray:
         return self.passages([text])[0]

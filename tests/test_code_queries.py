@@ -56,6 +56,13 @@ def test_models():
         M.loaded("BAAI/bge-small-en-v1.5")
 
 
+def test_own_word_is_nearest_among_many():
+    e, body = M.HashingEmbedder(), "int Box{k}::area{k}(int a) {{\n  if (a) {{ return 1; }}\n  return 0;\n}}"
+    vectors = e.passages([body.format(k=k) for k in range(20_000)])
+    assert [int(np.argmax(vectors @ e.query(f"area{k}"))) for k in (12, 4321, 19_999)] == [12, 4321, 19_999]
+    assert np.allclose(np.linalg.norm(vectors, axis=1), 1, atol=1e-6) and not e.query("").any() and np.allclose(e.query("a b B a"), e.query("b a a b"))
+
+
 def test_time_limit():
     with pytest.raises(TimeoutError), parsing.limited(0.05):
         while True:
